@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockframe.llm import exact_dedup, langid, mixing, topk, url_filter
+from blockframe.llm import exact_dedup, langid, mixing, pieces, token_files, topk, url_filter
 
-QUERIES = {f.__name__: f for f in (exact_dedup.op2_exact_dedup, url_filter.op8_url_filter, mixing.op9_mix_sources, topk.op10_exact_top_k, langid.op7_language_id)}
+QUERIES = {f.__name__: f for f in (exact_dedup.op2_exact_dedup, url_filter.op8_url_filter, mixing.op9_mix_sources, topk.op10_exact_top_k, langid.op7_language_id, token_files.op6_token_files, pieces.op5_sentencepiece)}
 ORACLE_SQL = {k: v for m in (exact_dedup, url_filter, mixing, topk) for k, v in m.ORACLE_SQL.items()}
