@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from blockframe.llm import exact_dedup, langid, mixing, pieces, token_files, topk, url_filter
+from blockframe.llm import exact_dedup, jaccard_join, langid, mixing, pieces, substring_dedup, suffix_sort, token_files, topk, url_filter
 
-QUERIES = {f.__name__: f for f in (exact_dedup.op2_exact_dedup, url_filter.op8_url_filter, mixing.op9_mix_sources, topk.op10_exact_top_k, langid.op7_language_id, token_files.op6_token_files, pieces.op5_sentencepiece)}
-ORACLE_SQL = {k: v for m in (exact_dedup, url_filter, mixing, topk) for k, v in m.ORACLE_SQL.items()}
+_MODULES = (substring_dedup, exact_dedup, suffix_sort, jaccard_join, pieces, token_files, langid, url_filter, mixing, topk)
+QUERIES = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
