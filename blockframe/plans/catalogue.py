@@ -2,5 +2,339 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import hashlib
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from blockframe.functions import codec, wire
+from blockframe.functions import columns as C
+from blockframe.operators import archives, blocks, bytestats, filters, training
+
+BLOCK = 4096
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("data"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.split_blocks(_raw(spark, sf_dir), "data", BLOCK)
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).select("doc_id", "block", F.octet_length("part").cast("long").alias("n_bytes"))
+
+
+SPLIT = f"""WITH d AS (SELECT doc_id, encode(text) AS data, octet_length(encode(text)) AS n FROM documents),
+b AS (SELECT doc_id, data, n, unnest(range(0, (n + {BLOCK - 1}) // {BLOCK})) AS block FROM d),
+p AS (SELECT doc_id, block::INTEGER AS block, data[block * {BLOCK} + 1 : least(n, (block + 1) * {BLOCK})] AS part, least({BLOCK}, n - block * {BLOCK}) AS n_bytes FROM b)"""
+
+
+@query(f"{SPLIT} SELECT doc_id, block, n_bytes, md5(part) AS part_md5 FROM p")
+def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).select("doc_id", "block", F.octet_length("part").cast("long").alias("n_bytes"), F.md5("part").alias("part_md5"))
+
+
+@query(f"""{SPLIT} SELECT doc_id, block, n_bytes, n_bytes + 8 AS phys,
+(16 + coalesce(sum(n_bytes + 8) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS comp_off FROM p""")
+def seek_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.seek_index(_sizes(spark, sf_dir), "doc_id", F.col("n_bytes") + blocks.HEADER)
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.octet_length("data")
+    return _raw(spark, sf_dir).select("doc_id", F.floor(n / 3).alias("offset"), F.floor(n / 2).alias("len"))
+
+
+TOUCHED = f"""{SPLIT}, r AS (SELECT doc_id, data, n // 3 AS o, n // 2 AS l FROM d), t AS (SELECT doc_id, o, l, unnest(range(o // {BLOCK}, (o + l - 1) // {BLOCK} + 1)) AS block FROM r WHERE l > 0)"""
+
+
+@query(f"{TOUCHED} SELECT doc_id, o AS \"offset\", l AS len, block::INTEGER AS block, greatest(0, o - block * {BLOCK}) AS skip, least({BLOCK}, o + l - block * {BLOCK}) - greatest(0, o - block * {BLOCK}) AS copy FROM t")
+def range_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.range_to_blocks(_ranges(spark, sf_dir), BLOCK)
+
+
+@query(f"{TOUCHED} SELECT doc_id, md5(data[o + 1 : o + l]) AS range_md5 FROM r WHERE l > 0")
+def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = blocks.range_to_blocks(_ranges(spark, sf_dir), BLOCK)
+    cut = wanted.join(_parts(spark, sf_dir), ["doc_id", "block"]).select("doc_id", "block", F.hex(F.substring(F.col("part"), (F.col("skip") + 1).cast("int"), F.col("copy").cast("int"))).alias("h"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), "")
+    return cut.groupBy("doc_id").agg(F.md5(F.unhex(whole)).alias("range_md5"))
+
+
+BYTES = "WITH x AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents), s AS (SELECT doc_id, unnest(h) AS h, generate_subscripts(h, 1) - 1 AS pos FROM x), v AS (SELECT doc_id, pos, ('0x' || h)::INTEGER AS sym FROM s)"
+
+
+@query(f"{BYTES} SELECT doc_id, sym, count(*) AS freq FROM v GROUP BY ALL")
+def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytestats.histogram(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"{BYTES}, f AS (SELECT doc_id, sym, count(*) AS freq FROM v GROUP BY ALL) SELECT doc_id, count(*) AS n_sym, max(freq) AS top FROM f GROUP BY doc_id")
+def post_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytestats.entropy_bits(bytestats.histogram(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+RLE = f"""{BYTES}, e AS (SELECT *, (sym IS DISTINCT FROM lag(sym) OVER w)::INT AS edge FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+i AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM e), r AS (SELECT doc_id, run, min(pos) AS pos, count(*) AS len FROM i GROUP BY doc_id, run),
+c AS (SELECT *, CASE WHEN len >= 4 THEN len // 131 + (len % 131 >= 4)::INT ELSE 0 END AS coded, CASE WHEN len < 4 THEN len WHEN len % 131 >= 4 THEN 0 ELSE len % 131 END AS plain,
+      sum((len >= 4)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS stretch FROM r),
+g AS (SELECT doc_id, stretch, sum(len) AS n, sum(coded) AS coded, sum(plain) AS plain FROM c GROUP BY doc_id, stretch),
+z AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(2 * coded + plain + (plain + 127) // 128)::BIGINT AS rle FROM g GROUP BY doc_id)"""
+
+
+@query(f"{RLE} SELECT * FROM z")
+def rle_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytestats.rle_size(bytestats.runs(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query(f"{RLE} SELECT doc_id, CASE WHEN rle + n * 8 // 256 < n THEN 'RLE' ELSE 'RAW' END AS fast, CASE WHEN rle + n // 256 < n THEN 'RLE' ELSE 'RAW' END AS dense FROM z")
+def choose_literal_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = rle_size(spark, sf_dir)
+    return sizes.select("doc_id", bytestats.choose_literals(F.col("n"), F.col("rle"), 8).alias("fast"), bytestats.choose_literals(F.col("n"), F.col("rle"), 1).alias("dense"))
+
+
+@query("""WITH d AS (SELECT l_suppkey, l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS dist FROM lineitem)
+SELECT l_suppkey, max(dist) AS max_dist, CASE WHEN max(dist - 1) <= 255 THEN 1 ELSE 2 END AS width FROM d GROUP BY l_suppkey""")
+def offset_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    over = filters.line(["l_suppkey"], ["l_orderkey", "l_linenumber"])
+    dist = table(spark, sf_dir, "lineitem").withColumn("dist", F.col("l_orderkey") - F.lag("l_orderkey").over(over))
+    return dist.groupBy("l_suppkey").agg(F.max("dist").alias("max_dist"), F.when(F.max(F.col("dist") - 1) <= 255, 1).otherwise(2).alias("width"))
+
+
+VARINT = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 END"
+
+
+@query(f"""WITH v AS (SELECT 'n_chars' AS what, {VARINT.format("n_chars")} AS size FROM documents UNION ALL SELECT 'l_orderkey', {VARINT.format("l_orderkey")} FROM lineitem)
+SELECT what, size, count(*) AS n FROM v GROUP BY ALL""")
+def varint_len(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.lit("n_chars").alias("what"), bytestats.varint_length(F.col("n_chars")).alias("size"))
+    lines = table(spark, sf_dir, "lineitem").select(F.lit("l_orderkey").alias("what"), bytestats.varint_length(F.col("l_orderkey")).alias("size"))
+    return docs.unionByName(lines).groupBy("what", "size").agg(F.count("*").alias("n"))
+
+
+MASK = "18446744073709551615::UHUGEINT"
+SHIFT = f", a AS (SELECT *, xor(h0, (h0 << 13) & {MASK}) AS h1 FROM z), b2 AS (SELECT *, xor(h1, h1 >> 7) AS h2 FROM a), c AS (SELECT *, xor(h2, (h2 << 17) & {MASK}) AS h FROM b2)"
+
+
+@query(f"{SPLIT}, z AS (SELECT doc_id, block, xor(n_bytes::UHUGEINT << 24, {wire.BLOCK_SALT}::UHUGEINT) AS h0 FROM p){SHIFT} SELECT doc_id, block, (xor(h >> 32, h) & 255::UHUGEINT)::BIGINT AS crc FROM c")
+def block_crc8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir).select("doc_id", "block", C.hash8(C.block_header_word(F.lit(wire.RAW), F.col("n_bytes"))).alias("crc"))
+
+
+PREFIX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+LOW = wire.MAGIC | wire.VERSION << 32 | 19 << 40 | (wire.HAS_CHECKSUM | wire.HAS_DICT) << 48
+
+
+@query(f"""WITH i AS (SELECT doc_id, {PREFIX.format("text")} AS id FROM documents),
+z AS (SELECT doc_id, id, xor(xor({LOW}::UHUGEINT | ((id::UHUGEINT & 255::UHUGEINT) << 56), (id::UHUGEINT >> 8)), {wire.FILE_SALT}::UHUGEINT) AS h0 FROM i){SHIFT},
+r AS (SELECT doc_id, id, xor(h >> 32, h) & 4294967295::UHUGEINT AS r FROM c) SELECT doc_id, id AS dict_id, (xor(r >> 16, r) & 65535::UHUGEINT)::BIGINT AS crc FROM r""")
+def file_crc16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.conv(F.substring(F.md5(F.encode("text", "utf-8")), 1, 8), 16, 10).cast("long").alias("dict_id"))
+    low = F.lit(LOW).cast("long").bitwiseOR(F.shiftleft(F.col("dict_id").bitwiseAND(F.lit(255)), 56))
+    return ids.select("doc_id", "dict_id", C.hash16(low, F.shiftright("dict_id", 8)).alias("crc"))
+
+
+FOLD = f"""{SPLIT}, k AS (SELECT doc_id, block, count(*) OVER (PARTITION BY doc_id) AS n, {PREFIX.format("part")} AS v FROM p),
+q AS (SELECT doc_id, n, v, (n - 1 - block) % 32 AS r FROM k) SELECT doc_id, max(n) AS n_blocks, bit_xor(((v << r) | (v >> (32 - r))) & 4294967295)::BIGINT AS global_hash FROM q GROUP BY doc_id"""
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).select("doc_id", "block", F.conv(F.substring(F.md5("part"), 1, 8), 16, 10).cast("long").alias("v"))
+
+
+@query(FOLD)
+def global_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.fold_hash(_hashes(spark, sf_dir), "doc_id", "v")
+
+
+@query(FOLD)
+def global_fold_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.fold_hash_ordered(_hashes(spark, sf_dir), "doc_id", "v")
+
+
+@query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, n, 44 + n + 84 * greatest(1, (n + 4095) // 4096) AS archive_bound,
+CASE WHEN n BETWEEN 1 AND 2097152 THEN n + 80 ELSE 0 END AS block_bound, n + 2112 AS decompress_bound, 65536 + 12 * ((n + 65535) // 65536) + 4 * ((n + 65535) // 65536) + 2140 AS in_place FROM d""")
+def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    return _raw(spark, sf_dir).select("doc_id", F.octet_length("data").cast("long").alias("n")).select("doc_id", "n", C.compress_bound(n).alias("archive_bound"), C.block_bound(n).alias("block_bound"), C.decompress_block_bound(n).alias("decompress_bound"), C.in_place_margin(n, 1 << 16, True).alias("in_place"))
+
+
+@query("SELECT count(*) AS n FROM documents WHERE (n_chars + 4095) // 4096 <= octet_length(encode(text)) // 2000 // 8")
+def footer_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("n_chars").alias("size"), F.lit(4096).alias("bs"), F.floor(F.octet_length("text") / 2000).alias("stored"))
+    return blocks.footer_plausible(rows, "size", "bs", "stored").agg(F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents), g AS (SELECT lower(substr(h, 2 * unnest(range(0, n - 4)) + 1, 10)) AS gram FROM d WHERE n >= 5)
+SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 100""")
+def kgram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytestats.kgrams(table(spark, sf_dir, "documents"), "text").orderBy(F.desc("n"), "gram").limit(100)
+
+
+@query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents), g AS (SELECT substr(h, 2 * unnest(range(0, n - 4)) + 1, 10) AS gram FROM d WHERE n >= 5),
+f AS (SELECT gram, count(*) AS f FROM g GROUP BY gram HAVING count(*) > 1),
+s AS (SELECT doc_id, k, substr(h, 10 * k + 1, 10) AS gram FROM (SELECT doc_id, h, unnest(range(0, n // 5)) AS k FROM d)),
+j AS (SELECT s.doc_id, k, f, k - row_number() OVER (PARTITION BY s.doc_id ORDER BY k) AS island FROM s JOIN f USING (gram)),
+i AS (SELECT doc_id, island, min(k) AS k0, k, f, (k - min(k) OVER (PARTITION BY doc_id, island)) // 819 AS piece FROM j GROUP BY doc_id, island, k, f)
+SELECT doc_id AS key, min(k) * 5 AS pos, sum(f)::BIGINT AS score, count(*) * 5 AS n FROM i GROUP BY doc_id, island, piece ORDER BY score DESC, key, pos LIMIT 50""")
+def dict_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    top = bytestats.kgrams(docs, "text").where("n > 1").orderBy(F.desc("n"), "gram").limit(training.MAX_GRAMS)
+    grams = {int(r.gram, 16): r.n for r in top.toLocalIterator()}
+    found = training.segments(docs, "doc_id", "text", grams).select("key", "pos", "score", F.octet_length("data").cast("long").alias("n"))
+    return found.orderBy(F.desc("score"), "key", "pos").limit(50)
+
+
+@query("SELECT event_id, epoch_us(ts) - coalesce(epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) AS delta FROM events")
+def delta_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    over = filters.line(["user_id"], ["ts", "event_id"])
+    return table(spark, sf_dir, "events").select("event_id", filters.delta(F.unix_micros(F.col("ts").cast("timestamp")), over).alias("delta"))
+
+
+def _delta2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    over = filters.line(["user_id"], ["ts", "event_id"])
+    events = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return events.withColumn("d1", filters.delta(F.col("us"), over)).withColumn("d2", filters.delta(F.col("d1"), over))
+
+
+@query("""WITH a AS (SELECT *, epoch_us(ts) - coalesce(epoch_us(lag(ts) OVER w), 0) AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, d - coalesce(lag(d) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS delta2 FROM a""")
+def delta2_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _delta2(spark, sf_dir).select("event_id", F.col("d2").alias("delta2"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS wrong FROM events")
+def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    over = filters.line(["user_id"], ["ts", "event_id"])
+    back = _delta2(spark, sf_dir).withColumn("b1", filters.undelta(F.col("d2"), over)).withColumn("b0", filters.undelta(F.col("b1"), over))
+    return back.agg(F.count("*").alias("n"), F.sum((F.col("b0") != F.col("us")).cast("long")).alias("wrong"))
+
+
+@query("SELECT o_orderkey, xor(o_custkey, coalesce(lag(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey), 0)) AS x FROM orders")
+def xor_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", filters.xor_prev(F.col("o_custkey"), filters.line(["o_orderpriority"], ["o_orderkey"])).alias("x"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS wrong FROM orders")
+def xor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    over = filters.line(["o_orderpriority"], ["o_orderkey"])
+    made = table(spark, sf_dir, "orders").withColumn("x", filters.xor_prev(F.col("o_custkey"), over))
+    return filters.unxor(made, "x", over, "back").agg(F.count("*").alias("n"), F.sum((F.col("back") != F.col("o_custkey")).cast("long")).alias("wrong"))
+
+
+@query("SELECT p_partkey, " + ", ".join(f"((p_size >> {8 * i}) & 255)::INTEGER AS b{i}" for i in range(4)) + " FROM part")
+def shuffle_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", *[filters.byte_plane(F.col("p_size"), i).alias(f"b{i}") for i in range(4)])
+
+
+def _roundtrip(level: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = archives.encode(table(spark, sf_dir, "documents"), "doc_id", "text", codec.Options(level, 1 << 16))
+        return archives.decode(made, "doc_id").select("doc_id", F.md5("data").alias("text_md5"), "error")
+
+    run.__name__ = f"roundtrip_l{level}"
+    return run
+
+
+for _level in range(1, 8):
+    query("SELECT doc_id, md5(text) AS text_md5, 'OK' AS error FROM documents")(_roundtrip(_level))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, 'OK' AS error FROM documents")
+def roundtrip_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = training.train(docs, "doc_id", "text")
+    made = archives.encode(docs, "doc_id", "text", codec.Options(6, 1 << 16, dictionary=own))
+    return archives.decode(made, "doc_id", dictionary=own).select("doc_id", F.md5("data").alias("text_md5"), "error")
+
+
+@query("""WITH d AS (SELECT doc_id, encode(text) AS data, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, md5(data[n // 3 + 1 : n // 3 + n // 2]) AS range_md5, 'OK' AS error FROM d""")
+def seekable_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = archives.encode(docs, "doc_id", "text", codec.Options(3, BLOCK, seekable=True)).join(_ranges(spark, sf_dir), "doc_id")
+    return archives.read_ranges(made, "doc_id").select("doc_id", F.md5("data").alias("range_md5"), "error")
+
+
+#: What is done to an archive, and the error that must follow.
+DAMAGE = {
+    "magic": ("BAD_MAGIC", lambda a: b"\xff" + a[1:]),
+    "version": ("BAD_VERSION", lambda a: a[:4] + b"\x07" + a[5:]),
+    "file_header": ("BAD_HEADER", lambda a: a[:14] + bytes([a[14] ^ 1]) + a[15:]),
+    "block_header": ("BAD_HEADER", lambda a: a[:23] + bytes([a[23] ^ 1]) + a[24:]),
+    "payload": ("BAD_CHECKSUM", lambda a: a[:24] + bytes([a[24] ^ 1]) + a[25:]),
+    "footer": ("BAD_CHECKSUM", lambda a: a[:-1] + bytes([a[-1] ^ 1])),
+    "size": ("CORRUPT_DATA", lambda a: a[:-12] + bytes([a[-12] ^ 1]) + a[-11:]),
+    "short": ("SRC_TOO_SMALL", lambda a: a[:10]),
+}
+
+
+@query("WITH c(damage, error) AS (VALUES " + ", ".join(f"('{k}', '{v[0]}')" for k, v in DAMAGE.items()) + ") SELECT damage, error, (SELECT count(*) FROM documents) AS n FROM c")
+def verify_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = archives.encode(table(spark, sf_dir, "documents"), "doc_id", "text", codec.Options(3, 1 << 16))
+    names = F.explode(F.array(*[F.lit(k) for k in DAMAGE]))
+    bad = made.select("archive", names.alias("damage"))
+
+    def hurt(damage: str, archive: bytes) -> tuple[bytes]:
+        return (DAMAGE[damage][1](bytes(archive)),)
+
+    return archives.decode(archives.map_rows(bad, ["damage", "archive"], "broken binary", hurt), "damage", "broken").groupBy("damage", "error").agg(F.count("*").alias("n"))
+
+
+@query()
+def archive_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = archives.encode(table(spark, sf_dir, "documents"), "doc_id", "text", codec.Options(3, BLOCK, seekable=True))
+    return archives.listing(made, "doc_id").withColumn("ratio", F.round(F.col("decompressed_size") / F.col("file_size"), 4))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS decompressed_size, (octet_length(encode(text)) + 4095) // 4096 AS n_blocks, 8 AS format_version, 4096::BIGINT AS block_size, true AS has_checksum, true AS seekable, 'OK' AS error FROM documents")
+def archive_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_list(spark, sf_dir).select("doc_id", "decompressed_size", "n_blocks", "format_version", "block_size", "has_checksum", "seekable", "error")
+
+
+@query("SELECT conv_id::VARCHAR AS conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id")
+def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations pushed turn by turn through the stateful encoder and then the decoder. Tables cross between the two runs below the checkpoint folder."""
+    from blockframe.streaming import push
+
+    top = push.shared_folder(spark)
+    turns = table(spark, sf_dir, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("end"))
+    rows = turns.join(last, "conv_id").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("chunk"), (F.col("turn") == F.col("end")).alias("last"))
+    folder = f"{top}/stream-{uuid.uuid4().hex}"
+    coded = push.run_once(spark, rows, lambda df: push.encode_stream(df, codec.Options(3, BLOCK)), f"{folder}/a")
+    back = push.run_once(spark, coded.select("stream_id", "seq", "chunk", F.lit(False).alias("last")), push.decode_stream, f"{folder}/b")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("chunk").alias("h")))), lambda x: x["h"]), "")
+    return back.groupBy(F.col("stream_id").alias("conv_id")).agg(F.md5(F.unhex(whole)).alias("text_md5"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a seekable archive of checked blocks: blocks, sizes, ordered hash, and whether it decodes to the same bytes."""
+    docs = table(spark, sf_dir, "documents")
+    made = archives.encode(docs, "doc_id", "text", codec.Options(3, BLOCK, seekable=True))
+
+    def look(_, archive: bytes) -> tuple:
+        head = codec.index(bytes(archive))
+        return head["n_blocks"], len(archive), head["global_hash"], hashlib.md5(codec.decode(bytes(archive))).hexdigest()
+
+    seen = archives.map_rows(made, ["doc_id", "archive"], "n_blocks long, stored_bytes long, global_hash long, content_md5 string", look)
+    return seen.join(docs.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("text_md5")), "doc_id").select("doc_id", "n_blocks", "stored_bytes", "global_hash", (F.col("content_md5") == F.col("text_md5")).alias("verified"))
