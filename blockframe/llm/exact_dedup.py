@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import ascii_lower, checkpointed, table
+from blockframe.llm.common import ascii_lower, checkpointed, table, unused
 
 #: Bytes of the normalised text that the second level hashes.
 PREFIX_BYTES = 256
@@ -66,5 +66,6 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: docs without the rows that lose to an equal text; all columns kept. Rows that share an id share its fate."""
-    lost = exact_groups(docs).where(~F.col("kept")).select(F.col("id").alias("_lost_id")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_lost_id"), "left_anti")
+    name = unused(docs, "_lost_id")
+    lost = exact_groups(docs).where(~F.col("kept")).select(F.col("id").alias(name)).distinct()
+    return docs.join(lost, F.col("doc_id") == F.col(name), "left_anti")

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import LOWER, UPPER, checkpointed, shuffle_partitions, table
+from blockframe.llm.common import LOWER, UPPER, checkpointed, shuffle_partitions, table, unused
 from blockframe.llm.components import components
 from blockframe.llm.poly import Prints, U, mix
 from blockframe.llm.recompression import word_bounds
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 order = np.lexsort((doc, where))
                 sign, doc, where = sign[order], doc[order], where[order]
                 edge = np.flatnonzero(np.diff(where, prepend=-1))
-                for a, b in zip(edge, np.append(edge[1:], len(where)), strict=True):
+                for a, b in zip(edge, np.append(edge[1:], len(where)) if len(edge) else edge, strict=True):
                     out.append((int(where[a]), PARTS, _pack(sign[a:b].astype("<u8"), np.diff(doc[a:b], prepend=0).astype("<i8"))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "kind", "data"])
@@ -303,5 +303,6 @@ ORACLE_SQL: dict[str, str] = {}
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents the one with the smallest id; documents without links and rows with a null id stay. All columns kept."""
-    lost = near_duplicates(docs).where("id <> component_id").select(F.col("id").alias("_lost_id")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_lost_id"), "left_anti")
+    name = unused(docs, "_lost_id")
+    lost = near_duplicates(docs).where("id <> component_id").select(F.col("id").alias(name)).distinct()
+    return docs.join(lost, F.col("doc_id") == F.col(name), "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockframe.llm.common import WORD, checkpointed, table
+from blockframe.llm.common import WORD, checkpointed, table, unused
 
 #: Words in a block.
 BLOCK = 64
@@ -111,9 +111,10 @@ ORACLE_SQL: dict[str, str] = {}
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it. A document of which taken words are wanted appears floor(taken / size) times,
     and once more with a seeded chance of the remaining fraction; one that is not taken goes, one without words stays once. All columns kept."""
-    plan = mix(docs).select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).groupBy("_id").agg(F.max("_size").alias("_size"), F.max("_taken").alias("_taken"))
-    part = F.col("_taken") / F.col("_size")
+    own, size, taken, copy = (unused(docs, name) for name in ("_own_id", "_size", "_taken", "_copy"))
+    plan = mix(docs).groupBy(F.col("id").alias(own)).agg(F.max("size").alias(size), F.max("taken").alias(taken))
+    part = F.col(taken) / F.col(size)
     chance = F.pmod(F.xxhash64(F.lit(SEED + 2), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.when(F.col("_size") > 0, F.floor(part) + F.when(chance < part - F.floor(part), 1).otherwise(0)).otherwise(1).cast("int")
-    copies = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_times", times).where("_times > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    times = F.when(F.col(size) > 0, F.floor(part) + F.when(chance < part - F.floor(part), 1).otherwise(0)).otherwise(1).cast("int")
+    copies = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(own)), "left").withColumn(copy, F.when(times > 0, F.sequence(F.lit(1), times)))
+    return copies.withColumn(copy, F.explode(copy)).select(*docs.columns)

@@ -69,6 +69,8 @@ def _dealt(items: dict[str, np.ndarray], by: np.ndarray, buckets: int, kind: int
     order = np.lexsort((items["start"], items["key"], items["doc"], where))
     items, where = _take(items, order), where[order]
     edges = np.flatnonzero(np.diff(where, prepend=-1))
+    if not len(edges):
+        return
     rows = [(int(where[a]), dump(_take(items, slice(a, b)))) for a, b in zip(edges, np.append(edges[1:], len(where)), strict=True)]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "kind", "data"])
@@ -270,6 +272,8 @@ def find_spans(docs: DataFrame, make: type[Units], near: Callable | None = None)
 
     def contexts(units: Units, part: dict, ids, keys, base) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(~part["wide"])
+        if not len(at):
+            return
         name = part["name"][at].view(np.uint64)
         where = (name % U(buckets)).astype(np.int64)
         at, name, where = (x[np.argsort(where, kind="stable")] for x in (at, name, where))
