@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import LOWER, UPPER, checkpointed, shuffle_partitions, table, unused
+from blockframe.llm.common import LOWER, UPPER, checkpointed, hand_back, handing_back, shuffle_partitions, table, unused
 from blockframe.llm.components import components
 from blockframe.llm.poly import Prints, U, mix
 from blockframe.llm.recompression import word_bounds
@@ -260,9 +260,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             other = doc != star
             pairs = np.unique(np.stack([star[other], doc[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
             out.append(_found(PARTS, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)))
+        hand_back()
         return pa.Table.from_batches(out)
 
-    found = checkpointed(rows.mapInArrow(scan, "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(meet, FOUND))
+    found = checkpointed(rows.mapInArrow(handing_back(scan), "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(meet, FOUND))
     cells = checkpointed(components(found.where(F.col("kind") == PARTS).select("a", "b")))
     blocks = cells.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = cells.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -284,9 +285,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for (_, low, high), own in cell.items():
             own.sort()
             out += verify([d for _, d, _ in own], [np.frombuffer(x, "<u8") for _, _, x in own], None if low == high else [b == low for b, _, _ in own], percent)
+        hand_back()
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    data = rows.join(members, F.col("doc") == F.col("node")).select("doc", "text", "component", "block", "blocks").mapInArrow(sets, "doc long, component long, block int, blocks int, data binary")
+    data = rows.join(members, F.col("doc") == F.col("node")).select("doc", "text", "component", "block", "blocks").mapInArrow(handing_back(sets), "doc long, component long, block int, blocks int, data binary")
     spread = data.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "data")
     links = spread.withColumn("bucket", F.pmod(F.xxhash64("component", "low", "high"), F.lit(2 * buckets)).cast("int")).groupBy("bucket").applyInArrow(check, "a long, b long")
     groups = components(links.unionByName(found.where(F.col("kind") == SAME).select("a", "b")))

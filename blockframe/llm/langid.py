@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from blockframe.llm.common import checkpointed, table
+from blockframe.llm.common import checkpointed, handing_back, table
 
 #: Bytes of an n-gram. Texts are lower-cased, anything but letters becomes one space.
 GRAM = 4
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     grams, n = np.unique(_grams(part)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = checkpointed(rows.where(take).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counted = checkpointed(rows.where(take).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(handing_back(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counted.join(F.broadcast(totals), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("share"))
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 score += b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    return kept.mapInArrow(label, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return kept.mapInArrow(handing_back(label), StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import table
+from blockframe.llm.common import handing_back, table
 from blockframe.llm.segments import SegmentEncoder, chunks
 
 #: The white-space mark, U+2581.
@@ -326,7 +326,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(missing[a:b]))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), lists, pa.array(good, mask=missing[a:b])], [*names, "ids", "round_trip"])
 
-    return docs.select(*names, F.col(text_col).alias(text_col)).mapInArrow(run, ", ".join(filter(None, [kinds, "ids array<int>, round_trip boolean"])))
+    return docs.select(*names, F.col(text_col).alias(text_col)).mapInArrow(handing_back(run), ", ".join(filter(None, [kinds, "ids array<int>, round_trip boolean"])))
 
 
 def model_path() -> str:
@@ -352,7 +352,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(np.diff(count)), pa.array(crc, pa.int64()), pa.array(good)], ["doc_id", "n_pieces", "n_bytes", "ids_crc32", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(handing_back(digest), "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean")
 
 
 ORACLE_SQL: dict[str, str] = {}
