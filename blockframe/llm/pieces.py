@@ -21,6 +21,8 @@ MARK = b"\xe2\x96\x81"
 UNKNOWN_PENALTY = 10.0
 #: Segments up to so many bytes are decoded side by side, longer ones alone.
 SIDE_BY_SIDE = 64
+#: Distinct segments that a worker remembers during a task.
+REMEMBERED = 120_000
 NORMAL, BYTE = 1, 6
 
 
@@ -268,7 +270,7 @@ class Vocabulary:
     @cached_property
     def encoder(self) -> SegmentEncoder:
         self.check()
-        return SegmentEncoder(self.encode_segments, self.borders)
+        return SegmentEncoder(self.encode_segments, self.borders, most=REMEMBERED)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (one more entry at the end). An empty text has none."""
@@ -325,6 +327,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
                 good = [x == y for x, y in zip(own.decode(ids, at), texts[a:b], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(missing[a:b]))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), lists, pa.array(good, mask=missing[a:b])], [*names, "ids", "round_trip"])
+        own.encoder.forget()
 
     return docs.select(*names, F.col(text_col).alias(text_col)).mapInArrow(handing_back(run), ", ".join(filter(None, [kinds, "ids array<int>, round_trip boolean"])))
 
@@ -351,6 +354,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(np.diff(count)), pa.array(crc, pa.int64()), pa.array(good)], ["doc_id", "n_pieces", "n_bytes", "ids_crc32", "round_trip"])
+        own.encoder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(handing_back(digest), "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean")
 

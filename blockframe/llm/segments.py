@@ -17,9 +17,9 @@ CACHE_SEGMENTS, CACHE_TOKENS = 500_000, 8_000_000
 class SegmentEncoder:
     """encode: a list of segments (bytes) to a list of id sequences."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], borders: Callable[[np.ndarray], np.ndarray], whole: tuple[bytes, ...] = ()):
-        """borders: bytes to a mask of where a segment begins; entry 0 of a text is always one. A text that holds one of whole is a single segment."""
-        self.encode, self.borders, self.whole = encode, borders, whole
+    def __init__(self, encode: Callable[[list[bytes]], list], borders: Callable[[np.ndarray], np.ndarray], whole: tuple[bytes, ...] = (), most: int = CACHE_SEGMENTS):
+        """borders: bytes to a mask of where a segment begins; entry 0 of a text is always one. A text that holds one of whole is a single segment. most: segments that are remembered."""
+        self.encode, self.borders, self.whole, self.most = encode, borders, whole, most
         self.forget()
 
     def forget(self) -> None:
@@ -64,7 +64,7 @@ class SegmentEncoder:
             _, first, which = np.unique(np.stack([key, check], 1), axis=0, return_index=True, return_inverse=True)
             which = which.reshape(-1)
         segments = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-        if len(self.known) > CACHE_SEGMENTS or self.used > CACHE_TOKENS:
+        if len(self.known) > self.most or self.used > CACHE_TOKENS:
             self.forget()
         if new := [s for s in segments if s not in self.known]:
             self._learn(new)
