@@ -21,6 +21,10 @@ MARK = b"\xe2\x96\x81"
 UNKNOWN_PENALTY = 10.0
 #: Segments up to so many bytes are decoded side by side, longer ones alone.
 SIDE_BY_SIDE = 64
+#: Segments decoded side by side at once.
+TOGETHER = 1 << 12
+#: Bytes of text encoded at once (a longer single text counts as one).
+PART_BYTES = 1 << 18
 #: Distinct segments that a worker remembers during a task.
 REMEMBERED = 120_000
 NORMAL, BYTE = 1, 6
@@ -172,7 +176,7 @@ class Vocabulary:
         while at < len(order) and len(marked[order[at]]) <= SIDE_BY_SIDE:
             longest = min(SIDE_BY_SIDE, max(8, len(marked[order[at]]) + 3))
             end = at
-            while end < len(order) and len(marked[order[end]]) <= longest and end - at < 1 << 15:
+            while end < len(order) and len(marked[order[end]]) <= longest and end - at < TOGETHER:
                 end += 1
             for i, ids in zip(order[at:end], self._together([marked[i] for i in order[at:end]]), strict=True):
                 out[i] = ids
@@ -322,7 +326,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
             column = batch.column(len(names))
             missing = column.is_null().to_numpy(zero_copy_only=False)
             texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, PART_BYTES):
                 ids, at = own.encode(texts[a:b])
                 good = [x == y for x, y in zip(own.decode(ids, at), texts[a:b], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(missing[a:b]))
@@ -347,7 +351,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = vocabulary(path)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, PART_BYTES):
                 ids, at = own.encode(texts[a:b])
                 good = [x == y for x, y in zip(own.decode(ids, at), texts[a:b], strict=True)]
                 count = np.concatenate([[0], np.cumsum(own.kinds[ids] == BYTE)])[at]
