@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 
@@ -12,7 +13,13 @@ from blockframe.functions.huffman import Tree, code_lengths, pack_lengths, unpac
 from blockframe.functions.wire import ArchiveError
 
 MIN_MATCH, MAX_DISTANCE = 5, 65_535
-#: By level: candidates looked at for a match, and whether the next position may offer a longer one.
+#: Bits that a match costs: its token and a distance of two bytes.
+MATCH_BITS = 24
+#: How often the cheapest path is sought.
+PATHS = {6: 2, 7: 3}
+#: Inside a match this long no longer one is looked for.
+LONG = 512
+#: By level: candidates looked at for a match, and whether the next position may offer a longer one (levels 6 and 7 weigh whole paths instead).
 EFFORT = {1: (1, False), 2: (2, False), 3: (3, True), 4: (6, True), 5: (16, True), 6: (32, True), 7: (64, True)}
 #: Cost in 1/256 bytes for each literal of an encoding that decodes slower than raw bytes, below level 6 and from there on.
 PREMIUM = {wire.LIT_RAW: (0, 0), wire.LIT_RLE: (8, 1), wire.LIT_HUFFMAN: (8, 4), wire.LIT_SHARED: (8, 4)}
@@ -94,6 +101,8 @@ def _agree(data: bytes, a: int, b: int, most: int) -> int:
 
 def parse(data: bytes, start: int, level: int) -> tuple[list[tuple[int, int, int]], int]:
     """Sequences (literals before, match length, distance) that cover data from start on, and where the literals after the last one begin."""
+    if level >= 6:
+        return cheapest(data, start, level)
     tries, lazy = EFFORT[level]
     before = earlier_places(np.frombuffer(data, np.uint8))
     known = np.flatnonzero(before >= 0)
@@ -106,11 +115,12 @@ def parse(data: bytes, start: int, level: int) -> tuple[list[tuple[int, int, int
         for _ in range(tries):
             if candidate < 0 or at - candidate > MAX_DISTANCE:
                 break
-            got = _agree(data, candidate, at, end - at)
-            if got > length:
-                length, where = got, candidate
-                if at + length == end:
-                    break
+            if not length or data[candidate + length] == data[at + length]:  # else it is no longer
+                got = _agree(data, candidate, at, end - at)
+                if got > length:
+                    length, where = got, candidate
+                    if at + length == end:
+                        break
             candidate = links[candidate]
         return length, where
 
@@ -136,6 +146,63 @@ def parse(data: bytes, start: int, level: int) -> tuple[list[tuple[int, int, int
     return out, anchor
 
 
+def longest(data: bytes, start: int, tries: int) -> tuple[list[int], list[int]]:
+    """Of each position from start on, the longest match found and its distance (0: none). What is left of the match before is one candidate."""
+    links, end = earlier_places(np.frombuffer(data, np.uint8)).tolist(), len(data)
+    lengths, distances = [0] * (end - start), [0] * (end - start)
+    length = distance = 0
+    for at in range(start, len(links)):
+        length = length - 1 if length > MIN_MATCH else 0
+        candidate, left = links[at], tries
+        while candidate >= 0 and left and at - candidate <= MAX_DISTANCE and length < LONG and at + length < end:
+            if not length or data[candidate + length] == data[at + length]:
+                got = _agree(data, candidate, at, end - at)
+                if got > length:
+                    length, distance = got, at - candidate
+            candidate, left = links[candidate], left - 1
+        if length:
+            lengths[at - start], distances[at - start] = length, distance
+    return lengths, distances
+
+
+def _bits(values: np.ndarray, n: int, most: float) -> np.ndarray:
+    """What each of n values costs by its share: its entropy, at most `most` bits."""
+    share = np.bincount(values, minlength=n) / max(1, len(values))
+    return np.minimum(most, -np.log2(np.maximum(share, 2.0**-most)))
+
+
+def cheapest(data: bytes, start: int, level: int) -> tuple[list[tuple[int, int, int]], int]:
+    """As parse, by the cheapest path from start to the end over literals and matches, whole or cut. Each path tells what literals, and at level 7 tokens, cost on the next."""
+    lengths, distances = longest(data, start, EFFORT[level][0])
+    raw, n, one = np.frombuffer(data, np.uint8)[start:], len(data) - start, 15 + MIN_MATCH
+    values, literals, tokens, out, anchor = raw.tolist(), raw, [MATCH_BITS] * 16, [], 0
+    for _ in range(PATHS[level]):
+        bits = np.maximum(1, _bits(literals, 256, 8)).tolist() if len(literals) >= HUFFMAN_LEAST else [8] * 256
+        cost, step = [0.0] * (n + 1), [1] * n
+        for at in range(n - 1, -1, -1):
+            least = bits[values[at]] + cost[at + 1]
+            if length := lengths[at]:
+                short = list(map(add, cost[at + MIN_MATCH : at + min(length + 1, one)], tokens))  # lengths that the token holds
+                if (low := min(short)) < least:
+                    least, step[at] = low, MIN_MATCH + short.index(low)
+                if length >= one and (more := cost[at + length] + tokens[15] + 8 * len(wire.varint(length - one))) <= least:
+                    least, step[at] = more, length
+            cost[at] = least
+        out, at, anchor, plain = [], 0, 0, np.ones(n, bool)
+        while at < n:
+            if step[at] > 1:
+                out.append((at - anchor, step[at], distances[at]))
+                plain[at : at + step[at]] = False
+                anchor = at + step[at]
+            at += step[at]
+        literals = raw[plain]
+        if level == 7 and len(out) >= HUFFMAN_LEAST:
+            runs, sizes, _ = np.minimum(np.array(out) - [0, MIN_MATCH, 0], 15).T
+            run = _bits(runs, 16, 8)[runs].mean()
+            tokens = (MATCH_BITS - 8 + run + _bits(sizes, 16, 8)).tolist()
+    return out, start + anchor
+
+
 # -- literal sections -------------------------------------------------------------------------------------------
 
 

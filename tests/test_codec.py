@@ -112,3 +112,20 @@ def test_bad_code_lengths():
         Tree(np.zeros(256, np.uint8))
     with pytest.raises(ArchiveError):
         Tree(np.array([1, 2] + [0] * 254, np.uint8))
+
+
+def test_cheapest_paths_cover_the_data_and_pay():
+    for level in (6, 7):
+        for data in (*PAYLOADS.values(), b"abcde" * 2, bytes(5)):
+            sequences, rest = codec.parse(data, 0, level)
+            out, at = bytearray(), 0
+            for run, length, distance in sequences:
+                out += data[at : at + run]
+                assert 5 <= length and 0 < distance <= min(len(out), codec.MAX_DISTANCE)
+                for _ in range(length):
+                    out.append(out[-distance])
+                at += run + length
+            assert bytes(out) == data[:rest]
+    prose = " ".join(DICE.choice(("block", "stream", "table", "archive", "seek", "window")) + DICE.choice(("s", "ed", "ing", "")) for _ in range(4_000)).encode()
+    sizes = [len(codec.encode(prose, codec.Options(level))) for level in (5, 6, 7)]
+    assert sizes[0] > sizes[1] > sizes[2]
