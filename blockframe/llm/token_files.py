@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockframe.llm.common import shared_folder, shuffle_partitions, table
+from blockframe.llm.common import handing_back, shared_folder, shuffle_partitions, table
 from blockframe.llm.segments import SegmentEncoder, chunks
 
 #: Ids of a block, whose planes are compressed one by one.
 BLOCK_IDS = 1 << 16
 #: Ids of a chunk, about: one row of the file, decoded at once.
 CHUNK_IDS = 1 << 20
+#: Distinct segments that a worker remembers.
+REMEMBERED = 200_000
 LEVEL = 1
 MAGIC = b"IDP1"
 _HEAD = struct.Struct("<4sBBIQI")  # magic, bytes of an id, 1 for bit planes, ids of a block, ids, planes in the index
@@ -113,7 +115,7 @@ def encoder(path: str) -> SegmentEncoder:
         rest = iter(own.encode_batch([s.decode("utf-8", "replace") for s, p in zip(segments, plain, strict=True) if not p], add_special_tokens=False))
         return [[t.id for t in model.tokenize(s.decode("latin-1").translate(letters))] if p else next(rest).ids for s, p in zip(segments, plain, strict=True)]
 
-    return SegmentEncoder(encode, _borders, tuple(t.content.encode() for t in own.get_added_tokens_decoder().values()))
+    return SegmentEncoder(encode, _borders, tuple(t.content.encode() for t in own.get_added_tokens_decoder().values()), most=REMEMBERED)
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -131,7 +133,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * width).astype(np.int32).tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), blobs], ["id", "n", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "id long, n long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(handing_back(encode), "id long, n long, ids binary")
 
 
 def write_ids(encoded: DataFrame, out: str, *, bits: bool = False, shards: int | None = None) -> None:
@@ -175,7 +177,7 @@ def _write(encoded: DataFrame, out: str, bits: bool, cuts: list[int]) -> None:
         where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("id")))
         where = F.coalesce(where, F.lit(0))
     dealt = encoded.select(F.greatest(where, F.lit(0)).alias("shard"), "id", "n", "ids").repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "id", "ids")
-    dealt.mapInArrow(build, "shard int, chunk int, n_ids long, doc_ids array<bigint>, sizes array<bigint>, data binary").write.parquet(out)
+    dealt.mapInArrow(handing_back(build), "shard int, chunk int, n_ids long, doc_ids array<bigint>, sizes array<bigint>, data binary").write.parquet(out)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -197,7 +199,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     before = shards.select(F.col("shard").alias("shard2"), (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))  # one row a shard
     line = Window.partitionBy("shard").orderBy("chunk")
     places = sizes.join(before, F.col("shard") == F.col("shard2")).select(F.col("shard").alias("s"), F.col("chunk").alias("c"), (F.col("base") + F.sum("n_ids").over(line) - F.col("n_ids")).alias("first"))
-    docs = files.select("shard", "chunk", "n_ids", "doc_ids", "sizes", "data").mapInArrow(decode, "shard int, chunk int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    docs = files.select("shard", "chunk", "n_ids", "doc_ids", "sizes", "data").mapInArrow(handing_back(decode), "shard int, chunk int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return docs.join(places, (F.col("shard") == F.col("s")) & (F.col("chunk") == F.col("c"))).select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
