@@ -1,8 +1,8 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap enough, by count vectors in an R-tree.
 
 The tree needs documents that may match close together. They get there by partition signatures: sets of similar size whose
-symmetric difference is at most t agree wholly in one of t + 1 parts, so documents are dealt by the print of each part. Documents that share a part, directly or through others,
-form a cell. In a cell, an R-tree over count vectors bounds the overlap and the surviving pairs are verified exactly.
+symmetric difference is at most t agree wholly in one of t + 1 parts, so documents are dealt by the print of each part. Below PERCENT such parts are too small to tell documents
+apart; there, documents are dealt by their rarest shingles. Documents that share a part or such a shingle, directly or through others, form a cell. In a cell, an R-tree over count vectors bounds the overlap and the surviving pairs are verified exactly.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from blockframe.llm.segments import chunks
 
 #: Words of a shingle; documents link when PERCENT of the union is shared.
 SHINGLE, PERCENT = 3, 90
+#: The same for the pipeline's stage.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
+#: Shingles that are known to be in more than one document, at most; what is beyond costs time, not links.
+MAX_COMMON = 1 << 22
 #: Coordinates of a count vector; points of an R-tree leaf or node.
 GROUPS, FANOUT = 64, 16
 #: Documents of a cell that meet in one task; larger cells are verified block by block.
@@ -109,6 +113,29 @@ def signatures(prints: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -
     return (np.concatenate(out), np.concatenate(whose)) if out else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
+def _short(prints: np.ndarray) -> np.ndarray:
+    return (mix(prints) >> U(32)).astype(np.uint32)
+
+
+def rarest(prints: np.ndarray, bounds: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets, and whose each is: a set's first shingles in one order of all shingles, those that common (short prints, ascending, and how often) counts least first.
+
+    Sets of a and b that link share p max(a, b) / 100 at least, so the first shared shingle is among the first n - ceil(p n / 100) + 1 of both.
+    """
+    n = np.diff(bounds)
+    own = np.repeat(np.arange(len(n)), n)
+    known, often = common
+    freq = np.zeros(len(prints), np.int64)
+    if len(known):
+        short = _short(prints)
+        at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+        freq = np.where(known[at] == short, often[at], 0)
+    order = np.lexsort((mix(prints), freq, own))
+    rank = np.arange(len(prints)) - np.repeat(bounds[:-1], n)
+    keep = rank < (n * (100 - percent) // 100 + 1)[own]
+    return prints[order[keep]], own[keep]
+
+
 class CountTree:
     """An R-tree over count vectors: leaves of FANOUT points packed in the order of set size and heaviest coordinate, nodes with the largest count of each coordinate and the range of sizes."""
 
@@ -179,16 +206,60 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def common_shingles(rows: DataFrame, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Short prints of shingles that come more than once in column text, ascending, and how often (as a power of two). Each bucket names its most frequent ones, MAX_COMMON in all at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            short, times = np.unique(np.concatenate(values), return_counts=True)
+            where = (short.astype(np.int64) * buckets) >> 32
+            edge = np.flatnonzero(np.diff(where, prepend=-1))
+            out = [_pack(np.diff(short[a:b].astype("<i8"), prepend=0).astype("<u4"), times[a:b].astype("<u4")) for a, b in zip(edge, np.append(edge[1:], len(where)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(where[edge], pa.int32()), pa.array(out, pa.binary())], ["bucket", "data"])
+
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            for a, b in chunks(texts):
+                values.append(_short(shingle_sets(texts[a:b], size)[0]))
+                n += len(values[-1])
+                if n >= FLUSH_SHINGLES:
+                    yield flush()
+                    values, n = [], 0
+        if n:
+            yield flush()
+
+    def name(group: pa.Table) -> pa.Table:
+        parts = [_unpack(x, "<u4", "<u4") for x in group["data"].to_pylist()]
+        short, times = np.concatenate([np.cumsum(s, dtype=np.int64) for s, _ in parts]), np.concatenate([t for _, t in parts])
+        order = np.argsort(short, kind="stable")
+        short, times = short[order], times[order]
+        first = np.flatnonzero(np.diff(short, prepend=-1))
+        short, times = short[first], np.add.reduceat(times.astype(np.int64), first)
+        top = np.flatnonzero(times > 1)
+        top = top[np.argsort(-times[top], kind="stable")][: MAX_COMMON // buckets]
+        hand_back()
+        return pa.table([pa.array([_pack(short[top].astype("<u4"), np.log2(times[top]).astype("u1"))], pa.binary())], names=["data"])
+
+    found = rows.select("text").mapInArrow(handing_back(count), "bucket int, data binary").groupBy("bucket").applyInArrow(name, "data binary")
+    parts = [_unpack(r.data, "<u4", "u1") for r in found.collect()]
+    short = np.concatenate([s for s, _ in parts]) if parts else np.zeros(0, np.uint32)
+    order = np.argsort(short)
+    return short[order], (np.concatenate([f for _, f in parts])[order] + 1 if parts else np.zeros(0, np.uint8))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per input row: id, n_shingles (size of its set), component_id (smallest id reachable by links, its own included).
 
-    Texts are lower-cased (A-Z) and cut in words; the set holds the distinct runs of SHINGLE words, or the whole sequence if it is shorter. Null and
+    Texts are lower-cased (A-Z) and cut in words; the set holds the distinct runs of `size` words, or the whole sequence if it is shorter. Null and
     wordless texts have empty sets and no links. Rows that share an id are one document for linking, each with its own n_shingles; null ids
     have component_id null. Other columns are ignored. Every link between different sets is found; equal sets of one task are collapsed first.
     """
     spark = docs.sparkSession
     buckets = SPREAD * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    common = None if percent >= PERCENT else spark.sparkContext.broadcast(common_shingles(rows, size, buckets))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
@@ -196,8 +267,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def flush() -> Iterator[pa.RecordBatch]:
             out = [(int(same[0][0]) % buckets if same else 0, SAME, _pack(*np.array(same, "<i8").T.copy()))] if same else []
-            for ids, null, size in base:
-                out.append((int(np.abs(ids[0])) % buckets, BASE, _pack(ids.astype("<i8"), size.astype("<i8"), null.astype("u1"))))
+            for ids, null, held in base:
+                out.append((int(np.abs(ids[0])) % buckets, BASE, _pack(ids.astype("<i8"), held.astype("<i8"), null.astype("u1"))))
             if signs:
                 sign, doc = np.concatenate(signs), np.concatenate(whose)
                 where = (sign % U(buckets)).astype(np.int64)
@@ -214,11 +285,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in chunks(texts):
-                prints, bounds = shingle_sets(texts[a:b])
-                size = np.diff(bounds)
-                base.append((ids[a:b], null[a:b], size))
+                prints, bounds = shingle_sets(texts[a:b], size)
+                held = np.diff(bounds)
+                base.append((ids[a:b], null[a:b], held))
                 sums = [np.concatenate([[U(0)], np.cumsum(mix(prints + U(salt)))]) for salt in (1, 2)]
-                keys = zip(size.tolist(), *((s[bounds[1:]] - s[bounds[:-1]]).tolist() for s in sums), strict=True)
+                keys = zip(held.tolist(), *((s[bounds[1:]] - s[bounds[:-1]]).tolist() for s in sums), strict=True)
                 fresh = np.zeros(b - a, bool)
                 for i, (key, doc, gone) in enumerate(zip(keys, ids[a:b].tolist(), null[a:b].tolist(), strict=True)):
                     if key[0] and not gone:
@@ -226,9 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         if first != doc:
                             same.append((first, doc))
                         fresh[i] = first == doc
-                part = np.repeat(fresh, size)
+                part = np.repeat(fresh, held)
                 kept = np.flatnonzero(fresh)
-                sign, own = signatures(prints[part], np.concatenate([[0], np.cumsum(size[kept])]), percent)
+                edges = np.concatenate([[0], np.cumsum(held[kept])])
+                sign, own = rarest(prints[part], edges, percent, common.value) if common else signatures(prints[part], edges, percent)
                 signs.append(sign)
                 whose.append(ids[a:b][kept][own])
                 n += len(sign)
@@ -242,8 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out, signs, docs_ = [], [], []
         for kind, data in zip(group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
             if kind == BASE:
-                ids, size, null = _unpack(data, "<i8", "<i8", "u1")
-                out.append(_found(BASE, pa.array(ids, mask=null.astype(bool)), np.zeros(len(ids), np.int64), size))
+                ids, held, null = _unpack(data, "<i8", "<i8", "u1")
+                out.append(_found(BASE, pa.array(ids, mask=null.astype(bool)), np.zeros(len(ids), np.int64), held))
             elif kind == SAME:
                 a, b = _unpack(data, "<i8", "<i8")
                 out.append(_found(SAME, a, b, np.zeros(len(a), np.int64)))
@@ -272,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in chunks(texts):
-                prints, bounds = shingle_sets(texts[a:b])
+                prints, bounds = shingle_sets(texts[a:b], size)
                 data = prints.astype("<u8").tobytes()
                 blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((bounds * 8).astype(np.int32).tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 2, 3, 4)), blobs], ["doc", "component", "block", "blocks", "data"])
@@ -303,8 +375,13 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL: dict[str, str] = {}
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the smallest id; documents without links and rows with a null id stay. All columns kept."""
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; documents without links and rows with a null id stay. All columns kept."""
     name = unused(docs, "_lost_id")
-    lost = near_duplicates(docs).where("id <> component_id").select(F.col("id").alias(name)).distinct()
+    lost = near_duplicates(docs, percent=percent, size=size).where("id <> component_id").select(F.col("id").alias(name)).distinct()
     return docs.join(lost, F.col("doc_id") == F.col(name), "left_anti")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one_of_each() of documents that share 80 percent of their runs of five words."""
+    return one_of_each(spark, docs, sf_dir, STAGE_PERCENT, STAGE_SHINGLE)

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blockframe.llm.common import shared_folder, table
 from blockframe.llm.exact_dedup import drop_copies
-from blockframe.llm.jaccard_join import one_of_each
+from blockframe.llm.jaccard_join import without_near_copies
 from blockframe.llm.langid import speaks
 from blockframe.llm.mixing import mixed
 from blockframe.llm.pieces import tokenized
 
 #: (name, function of (spark, docs, sf_dir)); each stage's result is written and read again as the next one's docs.
-STAGES = [("language_id", speaks), ("exact_dedup", drop_copies), ("jaccard_join", one_of_each), ("mix_sources", mixed), ("sentencepiece", tokenized)]
+STAGES = [("language_id", speaks), ("exact_dedup", drop_copies), ("jaccard_join", without_near_copies), ("mix_sources", mixed), ("sentencepiece", tokenized)]
 
 #: Language ID, links over hashed parts and tokenization are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
