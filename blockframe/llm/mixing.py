@@ -14,7 +14,7 @@ from blockframe.llm.common import WORD, checkpointed, table, unused
 
 #: Words in a block.
 BLOCK = 64
-#: Rows of the largest source in one shard, about.
+#: Rows of a source in one shard, about.
 SHARD_ROWS = 5_000
 #: Rows of the (source, shard) table that the driver handles; shards grow beyond SHARD_ROWS rather than exceed it.
 MAX_CELLS = 200_000
@@ -63,12 +63,44 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return got
 
 
+def _lots(seed: int, source: str | None, shard: int, count: int) -> tuple[int, int]:
+    """step and shift: of a shard's count blocks, those b with (b step + shift) mod count < m are its selection of m."""
+    dice = random.Random(f"{seed}/{source}/{shard}")
+    step = next((x for x in (dice.randrange(1, count) for _ in range(10_000)) if math.gcd(x, count) == 1), 1) if count > 1 else 1
+    return step, dice.randrange(max(1, count))
+
+
+def quotas(sizes: list[int], want: float, block: int, most: int, lots: list[tuple[int, int]]) -> list[int]:
+    """Blocks that each shard of a source gives, by highest quotients: as many that their words, short last blocks counted as what they are, come closest to want."""
+    counts = [math.ceil(n / block) for n in sizes]
+    caps = [most * c for c in counts]
+
+    def taken(quota: list[int]) -> int:
+        total = 0
+        for n, c, q, (step, shift) in zip(sizes, counts, quota, lots, strict=True):
+            if c:
+                passes, more = divmod(q, c)
+                total += passes * n + more * block - (c * block - n if ((c - 1) * step + shift) % c < more else 0)
+        return total
+
+    # more seats take more words, one block each
+    low, high = min(math.floor(want / block), sum(caps)), sum(caps)
+    reach = low + 64
+    while reach < high and taken(sainte_lague(sizes, reach, caps)) < want:
+        low, reach = reach, low + 2 * (reach - low)
+    high = min(high, reach)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if taken(sainte_lague(sizes, mid, caps)) >= want else (mid + 1, high)
+    return min((sainte_lague(sizes, s, caps) for s in (low, max(0, low - 1))), key=lambda q: abs(taken(q) - want))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, pattern: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, taken. Other columns are ignored; an empty table gives an empty result.
 
     size counts the words of the text (null: 0). Sources in code point order, null last, weigh pattern, repeating.
     Each source's rows are dealt over shards by a seeded hash of the id and laid end to end in a seeded order; the line is
-    cut into blocks of `block` words. A source's target, in blocks, goes to its shards by highest quotients; a shard
+    cut into blocks of `block` words, the last one of what is left. A source has shards by its own rows, and its shards give blocks by highest quotients until their words come closest to its target; a shard
     with q of n blocks takes every block q // n times and a seeded selection of q % n blocks once more. taken is what the
     document's words in those blocks come to, at most `most` times its size. Rows of equal id and size are interchangeable.
     The driver holds one row per source and shard, at most MAX_CELLS (or the number of sources, if larger).
@@ -77,9 +109,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     per.sort(key=lambda r: (r.source is None, r.source or ""))
-    shards = max(1, min(math.ceil(max((r.n for r in per), default=0) / SHARD_ROWS), MAX_CELLS // max(1, len(per))))
+    shards = {r.source: max(1, min(math.ceil(r.n / SHARD_ROWS), MAX_CELLS // len(per))) for r in per}
     wanted = targets([r["size"] for r in per], [pattern[i % len(pattern)] for i in range(len(per))], share, most)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(shards)).cast("int"))
+    split = spark.createDataFrame([(k, n) for k, n in shards.items() if n > 1], "split_source string, shards long")
+    rows = rows.join(F.broadcast(split), F.col("source").eqNullSafe(F.col("split_source")), "left").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.coalesce("shards", F.lit(1))).cast("int")).drop("split_source", "shards")
     cells: dict = {}
     for r in rows.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect():
         cells.setdefault(r.source, []).append((r.shard, r["size"]))
@@ -87,11 +120,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for r, want in zip(per, wanted, strict=True):
         own = sorted(cells[r.source])
         counts = [math.ceil(n / block) for _, n in own]
-        quotas = sainte_lague([n for _, n in own], round(want / block), [most * c for c in counts])
-        for (shard, _), count, quota in zip(own, counts, quotas, strict=True):
-            dice = random.Random(f"{seed}/{r.source}/{shard}")
-            step = next((x for x in (dice.randrange(1, count) for _ in range(10_000)) if math.gcd(x, count) == 1), 1) if count > 1 else 1
-            plan.append((r.source, shard, int(r["size"]), float(want), max(1, count), quota // max(1, count), quota % max(1, count), step, dice.randrange(max(1, count))))
+        lots = [_lots(seed, r.source, shard, count) for (shard, _), count in zip(own, counts, strict=True)]
+        for (shard, _), count, quota, (step, shift) in zip(own, counts, quotas([n for _, n in own], want, block, most, lots), lots, strict=True):
+            plan.append((r.source, shard, int(r["size"]), float(want), max(1, count), quota // max(1, count), quota % max(1, count), step, shift))
     cell = spark.createDataFrame(plan, "cell_source string, cell_shard int, source_size long, target double, count long, passes long, more long, step long, shift long")
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size")
     placed = rows.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
