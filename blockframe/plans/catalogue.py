@@ -199,10 +199,7 @@ i AS (SELECT doc_id, island, min(k) AS k0, k, f, (k - min(k) OVER (PARTITION BY
 SELECT doc_id AS key, min(k) * 5 AS pos, sum(f)::BIGINT AS score, count(*) * 5 AS n FROM i GROUP BY doc_id, island, piece ORDER BY score DESC, key, pos LIMIT 50""")
 def dict_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    top = bytestats.kgrams(docs, "text").where("n > 1").orderBy(F.desc("n"), "gram").limit(training.MAX_GRAMS)
-    grams = {int(r.gram, 16): r.n for r in top.toLocalIterator()}
-    found = training.segments(docs, "doc_id", "text", grams).select("key", "pos", "score", F.octet_length("data").cast("long").alias("n"))
-    return found.orderBy(F.desc("score"), "key", "pos").limit(50)
+    return training.repeated_segments(docs, "doc_id", "text").orderBy(F.desc("score"), "key", "pos").limit(50)
 
 
 @query("SELECT event_id, epoch_us(ts) - coalesce(epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) AS delta FROM events")
