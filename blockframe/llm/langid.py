@@ -40,12 +40,13 @@ class Model:
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of all texts one after the other, and where each text's begin (one more entry at the end). A gram never crosses texts."""
+    """n-grams of all texts one after the other, and where each text's begin (one more entry at the end). A gram never crosses texts; a text with a letter has one at least."""
     codes = []
     for text in texts:
         codes.append(" ".join(_words(text)).encode("utf-8", "replace"))
-    sizes = np.array([len(c) + 2 if c else 0 for c in codes], np.int64)
-    flat = np.frombuffer(b"".join(b" %b " % c for c in codes if c) + b"\0" * GRAM, np.uint8)
+    codes = [(b" %b " % c).ljust(GRAM) if c else b"" for c in codes]
+    sizes = np.array([len(c) for c in codes], np.int64)
+    flat = np.frombuffer(b"".join(codes) + b"\0" * GRAM, np.uint8)
     n = len(flat) - GRAM
     grams = np.zeros(n, np.uint64)
     for i in range(GRAM):
