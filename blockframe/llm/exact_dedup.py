@@ -9,8 +9,39 @@ from blockframe.llm.common import ascii_lower, checkpointed, table, unused
 
 #: Bytes of the normalised text that the second level hashes.
 PREFIX_BYTES = 256
-#: A group's summary row is copied this many times for the join back, and its members are dealt over the copies.
-SALTS = 16
+#: Groups of more than 1 / HOT of all rows, of which there are fewer than HOT, are broadcast to their members; members of other groups meet theirs in a shuffle.
+HOT = 10_000
+
+
+def _join(rows: DataFrame, groups: DataFrame, on: list[str], total: int, how: str) -> DataFrame:
+    """rows joined (inner, left or left_anti) with groups, whose column n is the group's size among the total rows. No key of the shuffle has more than total / HOT rows."""
+    hot, cold = groups.where(F.col("n") > total / HOT), groups.where(F.col("n") <= total / HOT)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return rest if how == "left_anti" else rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, prefix_bytes: int, digest_all: bool) -> DataFrame:
+    """exact_groups() and, of each row, len (bytes) and ph (hash of its prefix)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    norm = ascii_lower(text)
+    keys = [F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("len"), F.xxhash64(F.substring(F.encode(norm, "utf-8"), 1, prefix_bytes)).alias("ph")]
+    digest = F.sha2(F.encode(F.col("norm") if not digest_all else norm, "utf-8"), 256).alias("text_sha256")
+    rows = checkpointed(docs.select(*keys, *([digest] if digest_all else [])))
+    total = rows.count()
+    by_len = checkpointed(rows.groupBy("len").agg(F.count("*").alias("n")).where("n > 1"))
+    level1 = _join(rows, by_len, ["len"], total, "inner")
+    prefix = ["len", "ph"]
+    by_prefix = checkpointed(level1.groupBy(*prefix).agg(F.count("*").alias("n")).where("n > 1"))
+    whole = rows if digest_all else docs.select(*keys, norm.alias("norm"))
+    level2 = checkpointed(_join(whole, by_prefix, prefix, total, "inner").select("id", *prefix, "text_sha256" if digest_all else digest))
+    full = [*prefix, "text_sha256"]
+    groups = checkpointed(level2.groupBy(*full).agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1"))
+    alone = _join(rows, by_prefix, prefix, total, "left_anti").select("id", *prefix, "text_sha256" if digest_all else F.lit(None).cast("string").alias("text_sha256"))
+    none = [F.lit(None).cast(groups.schema["keep"].dataType).alias("keep"), F.lit(None).cast("long").alias("n")]
+    keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
+    return _join(level2, groups, full, total, "left").unionByName(alone.select("*", *none)).select(
+        "id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256", "len", "ph"
+    )
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_bytes: int = PREFIX_BYTES, digest_all: bool = False) -> DataFrame:
@@ -18,37 +49,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts
     the row with the largest id stays (several rows with that id: all of them). A null id loses to any id; rows of
-    a group whose ids are all null have keep_id null and are all kept. Other columns of docs are ignored.
+    a group whose ids are all null have keep_id null and are all kept. Other columns of docs are ignored; an empty table gives no rows.
 
     Level 1 counts byte lengths, level 2 counts (length, hash of the first prefix_bytes bytes) among rows whose
-    length is shared, level 3 groups by the full SHA-256 among rows that level 2 kept. Only fixed-size keys are
-    shuffled, never a text. With digest_all=False only rows that survive level 2 have their whole text hashed, in
-    a second scan (text_sha256 is null elsewhere); digest_all=True hashes each text in the first scan, for callers
-    that need every digest.
+    length is shared, level 3 groups by the full SHA-256 among rows that level 2 kept. digest_all=False hashes the whole text of only those
+    rows, in a second scan that deals texts by their prefix keys (text_sha256 is null elsewhere); digest_all=True hashes each text in
+    the first scan, for callers that need every digest, and shuffles keys and digests only, never a text.
     """
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    keys = [F.col(id_col).alias("id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("len"), F.xxhash64(F.substring(F.encode(norm, "utf-8"), 1, prefix_bytes)).alias("ph")]
-    full = F.sha2(F.encode(norm, "utf-8"), 256).alias("text_sha256")
-    rows = checkpointed(docs.select(*keys, *([full] if digest_all else [])))
-    by_len = rows.groupBy("len").count().where("count > 1").select("len")
-    level1 = rows.join(by_len, "len", "left_semi")
-    by_prefix = level1.groupBy("len", "ph").count().where("count > 1").select("len", "ph")
-    if digest_all:
-        level2 = level1.join(by_prefix, ["len", "ph"], "left_semi")
-    else:
-        level2 = docs.select(*keys, norm.alias("norm")).join(by_prefix, ["len", "ph"], "left_semi").select("id", "len", "ph", F.sha2(F.encode("norm", "utf-8"), 256).alias("text_sha256"))
-        level2 = checkpointed(level2)
-        digests = level2.select("id", "len", "ph", "text_sha256").distinct()
-        rows = rows.join(digests.select(F.col("id").alias("id2"), F.col("len").alias("len2"), F.col("ph").alias("ph2"), "text_sha256"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("len") == F.col("len2")) & (F.col("ph") == F.col("ph2")), "left").drop("id2", "len2", "ph2")
-    groups = level2.groupBy("len", "ph", "text_sha256").agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(dealt, ["len", "ph", "text_sha256", "salt"], "left").select(
-        "id",
-        F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.col("id").eqNullSafe(F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))).alias("kept"),
-        "text_sha256",
-    )
+    return _groups(docs, id_col, text_col, prefix_bytes, digest_all).drop("len", "ph")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +73,11 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: docs without the rows that lose to an equal text; all columns kept. Rows that share an id share its fate."""
-    name = unused(docs, "_lost_id")
-    lost = exact_groups(docs).where(~F.col("kept")).select(F.col("id").alias(name)).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col(name), "left_anti")
+    """Pipeline stage: docs without the rows that lose to an equal text; all columns kept. Rows are told apart by id (null is one too), length and prefix; of
+    those that agree in all three all stay if one does, so equal rows with one id stay together."""
+    own, size, ph = (unused(docs, name) for name in ("_lost_id", "_lost_len", "_lost_ph"))
+    found = _groups(docs, "doc_id", "text", PREFIX_BYTES, False)
+    lost = found.groupBy("id", "len", "ph").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("id").alias(own), F.col("len").alias(size), F.col("ph").alias(ph))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.xxhash64(F.substring(F.encode(ascii_lower(text), "utf-8"), 1, PREFIX_BYTES))
+    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col(own)) & (F.octet_length(text) == F.col(size)) & (key == F.col(ph)), "left_anti")

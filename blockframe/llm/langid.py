@@ -1,4 +1,4 @@
-"""Language identification with language-bitmask n-gram filters: a bit-sliced Bloom filter whose cells hold one bit per language."""
+"""Language identification with language-bitmask n-gram filters: a bit-sliced Bloom filter whose cells hold one bit per language, in as many words as the languages need."""
 
 from __future__ import annotations
 
@@ -18,16 +18,14 @@ from blockframe.llm.common import checkpointed, handing_back, table
 GRAM = 4
 #: Labelled rows of each language that the model is fitted on, about; chosen by a hash of the id.
 SAMPLE_ROWS = 4_000
-#: n-grams that each language enters in the filter at most.
-GRAMS = 30_000
-#: Cells of the filter (a power of two) and hashes of an n-gram.
-CELLS, HASHES = 1 << 18, 3
+#: Cells of the filter for each n-gram of the language that has most (rounded up to a power of two, of at least LEAST_CELLS), and hashes of an n-gram.
+CELLS_EACH, LEAST_CELLS, HASHES = 6, 1 << 12, 3
 #: An n-gram belongs to a language if its share there is at least this part of its largest share in any language.
 PART = 0.25
-#: Languages at most: the bits of a cell.
-MAX_LANGS = 32
-#: Characters of text that a task handles at once.
-CHUNK = 1 << 20
+#: Languages that one word of a cell tells apart.
+WORD_BITS = 32
+#: Characters, and texts, that a task handles at once.
+CHUNK, CHUNK_TEXTS = 1 << 20, 1 << 12
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 UNDETERMINED = "und"
 
@@ -35,7 +33,7 @@ UNDETERMINED = "und"
 @dataclass
 class Model:
     langs: list[str]
-    cells: np.ndarray  # uint32: bit i of a cell is the cell's bit in the filter of langs[i]
+    cells: np.ndarray  # uint32, words by cells: bit i of word w is the cell's bit in the filter of langs[32 w + i]
     false_rate: np.ndarray  # of each language's filter
 
 
@@ -74,8 +72,8 @@ _RUN = re.compile(r"[^\W\d_]+")  # holds a few numerals that are no letters
 _ASCII = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
 
 
-def _slots(grams: np.ndarray) -> Iterator[np.ndarray]:
-    shift = np.uint64(64 - CELLS.bit_length() + 1)
+def _slots(grams: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    shift = np.uint64(64 - cells.bit_length() + 1)
     for m in MULTIPLIERS[:HASHES]:
         x = grams * np.uint64(m)
         x ^= x >> np.uint64(29)
@@ -83,10 +81,10 @@ def _slots(grams: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def masks(model: Model, grams: np.ndarray) -> np.ndarray:
-    """For each n-gram the bits of all languages whose filter holds it: one AND over the cells answers for all at once."""
-    out = np.full(len(grams), 0xFFFFFFFF, np.uint32)
-    for slots in _slots(grams):
-        out &= model.cells[slots]
+    """For each n-gram the bits of all languages whose filter holds it, words by n-grams: one AND over the cells answers for all at once."""
+    out = np.full((len(model.cells), len(grams)), 0xFFFFFFFF, np.uint32)
+    for slots in _slots(grams, model.cells.shape[1]):
+        out &= model.cells[:, slots]
     return out
 
 
@@ -100,7 +98,7 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], list[flo
     full = np.flatnonzero(total)
     for i in range(len(model.langs)):
         if len(full):
-            hits = np.add.reduceat((found >> np.uint32(i)) & np.uint32(1), starts[full]).astype(float)
+            hits = np.add.reduceat((found[i // WORD_BITS] >> np.uint32(i % WORD_BITS)) & np.uint32(1), starts[full]).astype(float)
             rate = model.false_rate[i]
             share[full, i] = (hits / total[full] - rate) / (1 - rate)
     best = share.argmax(axis=1)
@@ -110,21 +108,17 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], list[flo
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from text and lang of rows whose text and lang are not null, about sample_rows of each language (all, if fewer).
+    """Learns from text and lang of rows whose text and lang are not null, about sample_rows of each language (all, if fewer). No language and no n-gram of these rows is left out.
 
-    The driver receives at most GRAMS n-grams of each of at most MAX_LANGS languages, and their counts.
+    The driver receives a row for each language, and the filter: its size follows the n-grams of the language that has most of them in the sample.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    langs = sorted(sizes)
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; a cell has {MAX_LANGS} bits")
+    sizes = checkpointed(rows.groupBy(F.col(lang_col).alias("label")).agg(F.count("*").alias("rows")))  # one row a language
+    langs = sorted(r.label for r in sizes.select("label").collect())
     if not langs:
-        return Model([], np.zeros(CELLS, np.uint32), np.zeros(0))
+        return Model([], np.zeros((1, LEAST_CELLS), np.uint32), np.zeros(0))
     dice = F.pmod(F.xxhash64(F.lit(11), id_col, F.xxhash64(text_col)), F.lit(1 << 24)) / float(1 << 24)
-    take = F.lit(False)
-    for lang in langs:
-        take = take | ((F.col(lang_col) == lang) & (dice < sample_rows / sizes[lang]))
+    drawn = rows.join(F.broadcast(sizes), F.col(lang_col) == F.col("label")).where(dice < sample_rows / F.col("rows"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,24 +130,34 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     grams, n = np.unique(_grams(part)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = checkpointed(rows.where(take).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(handing_back(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counted = checkpointed(drawn.select(F.col("label").alias("lang"), F.col(text_col).alias("text")).mapInArrow(handing_back(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counted.join(F.broadcast(totals), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("share"))
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
-    own = shares.join(most, "gram").where(F.col("share") >= PART * F.col("most"))
-    cells, rate = np.zeros(CELLS, np.uint32), np.zeros(len(langs))
-    for i, lang in enumerate(langs):
-        top = own.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).select("gram").toArrow()["gram"].to_numpy().astype(np.uint64)
-        for slots in _slots(top):
-            cells[slots] |= np.uint32(1 << i)
-        rate[i] = (((cells >> np.uint32(i)) & np.uint32(1)).mean()) ** HASHES
+    own = checkpointed(shares.join(most, "gram").where(F.col("share") >= PART * F.col("most")).select("lang", "gram"))
+    largest = own.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    size = max(LEAST_CELLS, 1 << (CELLS_EACH * largest - 1).bit_length())
+    number = {lang: i for i, lang in enumerate(langs)}
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            grams = batch.column(1).to_numpy().astype(np.uint64)
+            for at in _slots(grams, size):
+                yield pa.RecordBatch.from_arrays([pa.array((of // WORD_BITS).astype(np.int32)), pa.array(at), pa.array(1 << (of % WORD_BITS))], ["word", "cell", "bits"])
+
+    cells, rate = np.zeros((-(-len(langs) // WORD_BITS), size), np.uint32), np.zeros(len(langs))
+    filled = own.mapInArrow(handing_back(slots), "word int, cell long, bits long").groupBy("word", "cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    cells[filled["word"].to_numpy(), filled["cell"].to_numpy()] = filled["bits"].to_numpy().astype(np.uint32)
+    for i in range(len(langs)):
+        rate[i] = (((cells[i // WORD_BITS] >> np.uint32(i % WORD_BITS)) & np.uint32(1)).mean()) ** HASHES
     return Model(langs, cells, rate)
 
 
 def _chunks(texts: list, most: int = CHUNK) -> Iterator[list]:
     part, size = [], 0
     for t in texts:
-        if part and size + len(t or "") > most:
+        if part and (size + len(t or "") > most or len(part) >= CHUNK_TEXTS):
             yield part
             part, size = [], 0
         part.append(t)
@@ -186,6 +190,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score. Null, empty and letterless texts are `und` with score 0; any text with a letter gets a learned language, if there is one."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")

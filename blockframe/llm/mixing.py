@@ -15,9 +15,9 @@ from blockframe.llm.common import WORD, checkpointed, table, unused
 #: Words in a block.
 BLOCK = 64
 #: Rows of a source in one shard, about.
-SHARD_ROWS = 5_000
-#: Rows of the (source, shard) table that the driver handles; shards grow beyond SHARD_ROWS rather than exceed it.
-MAX_CELLS = 200_000
+SHARD_ROWS = 1_000
+#: Shards beyond one a source that the driver plans, at most; beyond, shards of all sources grow in proportion.
+MAX_SHARDS = 200_000
 SEED = 7
 
 
@@ -34,7 +34,8 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
         for i in full:
             out[i] = most * float(sizes[i])
         left -= sum(out[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
     return out
 
 
@@ -103,16 +104,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut into blocks of `block` words, the last one of what is left. A source has shards by its own rows, and its shards give blocks by highest quotients until their words come closest to its target; a shard
     with q of n blocks takes every block q // n times and a seeded selection of q % n blocks once more. taken is what the
     document's words in those blocks come to, at most `most` times its size. Rows of equal id and size are interchangeable.
-    The driver holds one row per source and shard, at most MAX_CELLS (or the number of sources, if larger).
+    The driver holds one row per source and shard: at most MAX_SHARDS and one more for each source, which is also the bound of what is broadcast.
     """
     spark = docs.sparkSession
     rows = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     per.sort(key=lambda r: (r.source is None, r.source or ""))
-    shards = {r.source: max(1, min(math.ceil(r.n / SHARD_ROWS), MAX_CELLS // len(per))) for r in per}
+    each = max(SHARD_ROWS, sum(r.n for r in per) / MAX_SHARDS)
+    shards = {r.source: math.ceil(r.n / each) for r in per}
     wanted = targets([r["size"] for r in per], [pattern[i % len(pattern)] for i in range(len(per))], share, most)
     split = spark.createDataFrame([(k, n) for k, n in shards.items() if n > 1], "split_source string, shards long")
-    rows = rows.join(F.broadcast(split), F.col("source").eqNullSafe(F.col("split_source")), "left").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.coalesce("shards", F.lit(1))).cast("int")).drop("split_source", "shards")
+    rows = rows.join(F.broadcast(split) if len(shards) <= MAX_SHARDS else split, F.col("source").eqNullSafe(F.col("split_source")), "left").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "id"), F.coalesce("shards", F.lit(1))).cast("int")).drop("split_source", "shards")
     cells: dict = {}
     for r in rows.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect():
         cells.setdefault(r.source, []).append((r.shard, r["size"]))
@@ -126,7 +128,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cell = spark.createDataFrame(plan, "cell_source string, cell_shard int, source_size long, target double, count long, passes long, more long, step long, shift long")
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size")
     placed = rows.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
-    joined = placed.join(F.broadcast(cell) if len(plan) <= MAX_CELLS else cell, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("shard") == F.col("cell_shard")))
+    joined = placed.join(F.broadcast(cell) if len(plan) <= 2 * MAX_SHARDS else cell, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("shard") == F.col("cell_shard")))
     picked = F.expr(f"""aggregate(sequence(start div {block}, (end - 1) div {block}), 0L, (sum, b) -> sum
         + if(pmod(b * step + shift, count) < more, least((b + 1) * {block}, end) - greatest(b * {block}, start), 0L))""")
     return joined.select("id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.when(F.col("size") > 0, picked).otherwise(F.lit(0))).cast("long").alias("taken"))

@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from blockframe.llm.common import table
 
-#: Bytes of query vectors in one broadcast; more queries are searched in further passes over the rows.
-QUERY_BYTES = 16_000_000
+#: Bytes of query vectors and their histograms that a pass over the rows holds in each task; more queries are searched in further passes.
+PASS_BYTES = 16_000_000
 #: Bins of a histogram.
 BINS = 256
 #: Scores held at once by a task: queries times rows of a batch.
@@ -39,7 +39,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     A component x counts as floor(scale * x); the score is the integer inner product. Rows whose id or vector is null, or whose
     vector is empty or holds null or non-finite components, take no part; a query is compared with rows of its own width. Rows
-    that share the query's id are its own. Repeated rows are candidates each. Other columns are ignored.
+    that share the query's id are its own. Repeated rows are candidates each. Other columns are ignored; empty tables give no rows.
 
     Each pass scores a bounded set of broadcast queries against all rows, task by task. The first passes return histograms of
     the scores in each query's current interval; the interval narrows to the bin that holds the k-th value until the
@@ -61,7 +61,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         bound = int(top) * int(reach) * w + 1
         if bound >= 1 << 62:
             raise ValueError("scores exceed 62 bits")
-        passes = -(-n * (w + 1) * 8 // QUERY_BYTES)
+        passes = -(-n * (w + 1 + BINS) * 8 // PASS_BYTES)
         for part in range(passes):
             some = asked.where(F.size("v") == w)
             some = some.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == part) if passes > 1 else some
@@ -70,7 +70,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
 
 def _search(spark: SparkSession, rows: DataFrame, asked: pa.Table, k: int, bound: int, width: int) -> DataFrame:
-    """asked fits QUERY_BYTES about."""
+    """asked and its histograms fit PASS_BYTES about."""
     asked = asked.sort_by("id")
     qids, queries = _matrix(asked.combine_chunks().to_batches()[0], width) if asked.num_rows else (np.zeros(0, np.int64), np.zeros((0, width)))
     low, high, need = np.full(len(qids), -bound), np.full(len(qids), bound + 1), np.full(len(qids), k)

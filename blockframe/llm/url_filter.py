@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import LOWER, UPPER, table
+from blockframe.llm.common import LOWER, UPPER, checkpointed, table
 
-#: Rules that a cascade may list. Its filters hold about 3 bytes a rule, so they and the plan's literals stay under 3 MB.
-MAX_RULES = 1_000_000
+#: Rules that one cascade lists, about: its filters, literals of the plan, hold some 3 bytes a rule. More rules are dealt over several cascades by a hash of the key.
+CASCADE_RULES = 100_000
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
@@ -56,18 +56,16 @@ def _encode(keys: DataFrame, level: int, n: int, rate: float) -> tuple[int, int,
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """listed, universe: DataFrames with a column key. Universe keys may repeat. At most MAX_RULES listed keys.
+    """listed, universe: DataFrames with a column key. Universe keys may repeat. The filters, 3 bytes a listed key about, come to the driver.
 
     The first level's rate is sqrt(1/2) * listed / universe (over the root of that only when it would exceed 1/2), so the
     false positives that level 2 encodes number about as many as the listed keys, however large the corpus.
     """
     listed = listed.where("key IS NOT NULL").distinct()
     n = listed.count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} listed keys; a cascade takes {MAX_RULES}")
     if not n:
         return Cascade([])
-    foreign = universe.where("key IS NOT NULL").join(F.broadcast(listed), "key", "left_anti")
+    foreign = universe.where("key IS NOT NULL").join(listed, "key", "left_anti")
     size = foreign.agg(F.approx_count_distinct("key")).first()[0]
     made = Cascade([_encode(listed, 0, n, min(0.5, math.sqrt(0.5) * n / max(1, size)))])
     sides = [listed, foreign]
@@ -90,35 +88,61 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def _fitting(made: Cascade, action: str) -> Column:
-    """The listed ones of the array column keys, longest comparable first field."""
-    return F.transform(F.filter("keys", lambda k: made.contains(k)), lambda k: F.struct(F.char_length(k).alias("n"), F.translate(k, "\t", "").alias("rule"), F.lit(action).alias("action")))
+def _labels(host: Column) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per input row: id, host, path, rule, verdict. Other columns are ignored.
+def _keys(counts: list[int], lengths: list[int]) -> Column:
+    """What a rule of so many labels and so long a path would have to be to fit columns host and path."""
+    labels = F.filter(F.array(*[F.lit(c) for c in counts]), lambda c: c <= _labels(F.col("host")))
+    cuts = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= F.char_length("path"))
+    return F.flatten(F.transform(labels, lambda c: F.transform(cuts, lambda x: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -c), F.lit("\t"), F.substring(F.col("path"), F.lit(1), x)))))
+
+
+def _dealt(key: Column, k: int, passes: int) -> Column:
+    """Whether key belongs to pass k."""
+    return F.pmod(F.xxhash64(F.lit(5), key), F.lit(passes)) == k if passes > 1 else F.lit(True)
+
 
-    A rule (action, host, path) fits its host and all subdomains if the url's path starts with the rule's path; the
-    longest fitting rule wins (ties: the greater string). rule is null and verdict allow where none fits, also for null, empty and malformed urls.
-    The universe holds every (host suffix, path prefix as long as some rule's path) of every page, so membership is exact there
-    and no page is joined with a rule.
+def _fitting(made: Cascade, action: str, k: int, passes: int) -> Column:
+    """The listed ones of the array column keys that pass k deals with."""
+    listed = F.filter("keys", lambda key: _dealt(key, k, passes) & made.contains(key))
+    return F.transform(listed, lambda key: F.struct((F.char_length(key) - 1).alias("n"), F.translate(key, "\t", "").alias("rule"), F.lit(action).alias("action")))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per input row: id, host, path, rule, verdict. Other columns are ignored; an empty table gives no rows.
+
+    A rule (action, host, path), of a list or of a DataFrame with these columns, fits its host and all subdomains if the url's path starts with the rule's path; the
+    longest fitting rule wins (ties: the greater string, then the greater action). rule is null and verdict allow where none fits, also for null, empty and malformed urls.
+    The universe holds, of every page, the host's ends of as many labels and the path's beginnings of as many characters as some rule has, so membership is exact there
+    and no page is joined with a rule. Hosts and paths may be of any length. Each CASCADE_RULES rules, about, take one pass over the pages; the passes' best fits are kept in the checkpoint folder.
     """
     spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "action string, host string, path string") if rules else spark.range(0).select(*[F.lit("").alias(c) for c in ("action", "host", "path")])
+    listed = rules.where("action IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL").select("action", F.concat("host", F.lit("\t"), "path").alias("key"), _labels(F.col("host")).alias("labels"), F.char_length("path").alias("length")).distinct()
+    listed = checkpointed(listed)
     host, path = split_url(F.col(url_col))
-    parts = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    lengths = sorted({len(p) for _, _, p in rules}) or [0]
-    cuts = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= F.char_length("path"))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda x: F.concat(s, F.lit("\t"), F.substring(F.col("path"), F.lit(1), x)))))
-    read = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("keys", keys)
-    universe = read.select(F.explode("keys").alias("key"))
-    fits = []
-    for action in sorted({a for a, _, _ in rules}):
-        own = sorted({f"{h}\t{p}" for a, h, p in rules if a == action})
-        listed = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in own])).alias("key"))
-        fits.append(_fitting(build_cascade(listed, universe), action))
-    best = F.array_max(F.concat(*fits)) if fits else F.lit(None).cast("struct<n:int,rule:string,action:string>")
-    return read.withColumn("best", best).select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit("allow")).alias("verdict"))
+    read = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    shape = listed.agg(F.collect_set("labels").alias("labels"), F.collect_set("length").alias("lengths")).first()  # labels of a host and characters of a path, each once
+    best = F.lit(None).cast("struct<n:int,rule:string,action:string>")
+    sizes = {r.action: r["count"] for r in listed.groupBy("action").count().collect()}
+    if sizes:
+        keys = _keys(sorted(shape.labels), sorted(shape.lengths))
+        universe = checkpointed(read.select(F.explode(keys).alias("key")).distinct())
+        passes = max(-(-n // CASCADE_RULES) for n in sizes.values())
+        read = read.withColumn("best", best)
+        for k in range(passes):
+            fits = []
+            for action in sorted(sizes):
+                made = build_cascade(listed.where((F.col("action") == action) & _dealt(F.col("key"), k, passes)).select("key"), universe.where(_dealt(F.col("key"), k, passes)))
+                fits.append(_fitting(made, action, k, passes))
+            read = read.withColumn("keys", keys).withColumn("best", F.array_max(F.concat(F.array("best"), *fits))).drop("keys")
+            if k + 1 < passes:
+                read = checkpointed(read)
+        best = F.col("best")
+    return read.select("id", "host", "path", best["rule"].alias("rule"), F.coalesce(best["action"], F.lit("allow")).alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def top_brute(rows, asked, k):
 
 @pytest.mark.parametrize("few", (False, True))
 def test_top_k(spark, few, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BYTES", 300 if few else topk.QUERY_BYTES)
+    monkeypatch.setattr(topk, "PASS_BYTES", 100_000 if few else topk.PASS_BYTES)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(30)] + [(300, None), (301, [1.0, None, 2.0, 3.0]), (302, [float("nan")] * 4), (303, [float("inf")] * 4), (None, [1.0] * 4), (304, []), (306, [1.0, 2.0]), (308, [0.0] * 4)]

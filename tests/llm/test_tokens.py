@@ -186,8 +186,8 @@ def test_language_id_without_labels(spark):
 
 def test_masks_have_no_false_negatives():
     grams = np.unique(np.random.default_rng(0).integers(0, 1 << 32, 5000).astype(np.uint64))
-    cells = np.zeros(langid.CELLS, np.uint32)
-    for slots in langid._slots(grams):
-        cells[slots] |= np.uint32(2)
+    cells = np.zeros((1, 1 << 18), np.uint32)
+    for slots in langid._slots(grams, 1 << 18):
+        cells[0, slots] |= np.uint32(2)
     model = langid.Model(["a", "b"], cells, np.zeros(2))
     assert (langid.masks(model, grams) == 2).all()
