@@ -1,4 +1,4 @@
-"""The block codec: matches found on sorted positions, sections, archives of blocks and their checks."""
+"""The block codec: sequences of literals and matches, sections, archives of blocks and their checks. Blocks are encoded many at once."""
 
 from __future__ import annotations
 
@@ -8,17 +8,17 @@ from operator import add
 
 import numpy as np
 
-from blockframe.functions import wire
+from blockframe.functions import matches, wire
 from blockframe.functions.huffman import Tree, code_lengths, pack_lengths, unpack_lengths
 from blockframe.functions.wire import ArchiveError
 
-MIN_MATCH, MAX_DISTANCE = 5, 65_535
+MIN_MATCH, MAX_DISTANCE = matches.MIN_MATCH, matches.MAX_DISTANCE
+#: Bytes of blocks that are searched for matches at once (a larger block alone).
+TOGETHER = 1 << 17
 #: Bits that a match costs: its token and a distance of two bytes.
 MATCH_BITS = 24
 #: How often the cheapest path is sought.
 PATHS = {6: 2, 7: 3}
-#: Inside a match this long no longer one is looked for.
-LONG = 512
 #: By level: candidates looked at for a match, and whether the next position may offer a longer one (levels 6 and 7 weigh whole paths instead).
 EFFORT = {1: (1, False), 2: (2, False), 3: (3, True), 4: (6, True), 5: (16, True), 6: (32, True), 7: (64, True)}
 #: Cost in 1/256 bytes for each literal of an encoding that decodes slower than raw bytes, below level 6 and from there on.
@@ -70,99 +70,17 @@ NO_DICT = Dictionary()
 # -- matches ----------------------------------------------------------------------------------------------------
 
 
-def earlier_places(data: np.ndarray) -> np.ndarray:
-    """For each position the closest one before with the same MIN_MATCH bytes, or -1: one sort instead of a table that is filled on the way."""
-    n = len(data) - MIN_MATCH + 1
-    if n < 2:
-        return np.full(max(n, 0), -1, np.int64)
-    key = np.zeros(n, np.uint64)
-    for i in range(MIN_MATCH):
-        key = key << np.uint64(8) | data[i : i + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    out = np.full(n, -1, np.int64)
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
-def _agree(data: bytes, a: int, b: int, most: int) -> int:
-    """Bytes that positions a < b share, most at most."""
-    n, step = MIN_MATCH, 32
-    while n < most:
-        step = min(step, most - n)
-        x, y = data[a + n : a + n + step], data[b + n : b + n + step]
-        if x != y:
-            diff = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
-            return n + ((diff & -diff).bit_length() - 1) // 8
-        n += step
-        step *= 2
-    return most
+def find(line: matches.Line, level: int) -> matches.Found:
+    tries, lazy = EFFORT[level]
+    return cheapest(line, level) if level >= 6 else line.greedy(tries, lazy)
 
 
 def parse(data: bytes, start: int, level: int) -> tuple[list[tuple[int, int, int]], int]:
-    """Sequences (literals before, match length, distance) that cover data from start on, and where the literals after the last one begin."""
-    if level >= 6:
-        return cheapest(data, start, level)
-    tries, lazy = EFFORT[level]
-    before = earlier_places(np.frombuffer(data, np.uint8))
-    known = np.flatnonzero(before >= 0)
-    known = known[known >= start]
-    links, out, anchor, end = before.tolist(), [], start, len(data)
-    places = known.tolist()
-
-    def best(at: int) -> tuple[int, int]:
-        length, where, candidate = 0, -1, links[at]
-        for _ in range(tries):
-            if candidate < 0 or at - candidate > MAX_DISTANCE:
-                break
-            if not length or data[candidate + length] == data[at + length]:  # else it is no longer
-                got = _agree(data, candidate, at, end - at)
-                if got > length:
-                    length, where = got, candidate
-                    if at + length == end:
-                        break
-            candidate = links[candidate]
-        return length, where
-
-    i, n = 0, len(places)
-    while i < n:
-        at = places[i]
-        if at < anchor:
-            i = int(np.searchsorted(known, anchor))
-            continue
-        length, where = best(at)
-        if length and lazy and length < 64 and i + 1 < n and places[i + 1] == at + 1:
-            more, other = best(at + 1)
-            if more > length + 1:
-                at, length, where = at + 1, more, other
-        if not length:
-            i += 1
-            continue
-        while at > anchor and where > 0 and data[at - 1] == data[where - 1]:
-            at, where, length = at - 1, where - 1, length + 1
-        out.append((at - anchor, length, at - where))
-        anchor = at + length
-        i += 1
-    return out, anchor
-
-
-def longest(data: bytes, start: int, tries: int) -> tuple[list[int], list[int]]:
-    """Of each position from start on, the longest match found and its distance (0: none). What is left of the match before is one candidate."""
-    links, end = earlier_places(np.frombuffer(data, np.uint8)).tolist(), len(data)
-    lengths, distances = [0] * (end - start), [0] * (end - start)
-    length = distance = 0
-    for at in range(start, len(links)):
-        length = length - 1 if length > MIN_MATCH else 0
-        candidate, left = links[at], tries
-        while candidate >= 0 and left and at - candidate <= MAX_DISTANCE and length < LONG and at + length < end:
-            if not length or data[candidate + length] == data[at + length]:
-                got = _agree(data, candidate, at, end - at)
-                if got > length:
-                    length, distance = got, at - candidate
-            candidate, left = links[candidate], left - 1
-        if length:
-            lengths[at - start], distances[at - start] = length, distance
-    return lengths, distances
+    """Sequences (literals before, match length, distance) that cover data from start on, and where the literals after the last one begin. What is before start serves as a dictionary."""
+    line = matches.Line([data[start:]], data[:start])
+    found = find(line, level)
+    rest = int(found.at[-1] + found.length[-1]) if len(found.at) else start
+    return list(zip(found.literals.tolist(), found.length.tolist(), found.distance.tolist(), strict=True)), rest
 
 
 def _bits(values: np.ndarray, n: int, most: float) -> np.ndarray:
@@ -171,11 +89,23 @@ def _bits(values: np.ndarray, n: int, most: float) -> np.ndarray:
     return np.minimum(most, -np.log2(np.maximum(share, 2.0**-most)))
 
 
-def cheapest(data: bytes, start: int, level: int) -> tuple[list[tuple[int, int, int]], int]:
-    """As parse, by the cheapest path from start to the end over literals and matches, whole or cut. Each path tells what literals, and at level 7 tokens, cost on the next."""
-    lengths, distances = longest(data, start, EFFORT[level][0])
-    raw, n, one = np.frombuffer(data, np.uint8)[start:], len(data) - start, 15 + MIN_MATCH
-    values, literals, tokens, out, anchor = raw.tolist(), raw, [MATCH_BITS] * 16, [], 0
+def cheapest(line: matches.Line, level: int) -> matches.Found:
+    """Each block's cheapest path over literals and matches, whole or cut. A path tells what literals, and at level 7 tokens, cost on the next."""
+    lengths, distances = line.longest(EFFORT[level][0])
+    at, size, counts = [], [], []
+    for start, stop in zip(line.starts.tolist(), line.stops.tolist(), strict=True):
+        steps = _path(line.data[start:stop], lengths[start:stop].tolist(), level)
+        at += [start + a for a, _ in steps]
+        size += [n for _, n in steps]
+        counts.append(len(steps))
+    place = np.array(at, np.int64)
+    return line.sequences(place, np.array(size, np.int64), distances[place], np.array(counts, np.int64))
+
+
+def _path(raw: np.ndarray, lengths: list[int], level: int) -> list[tuple[int, int]]:
+    """Place and length of the matches on the cheapest path through one block."""
+    n, one = len(raw), 15 + MIN_MATCH
+    values, literals, tokens, out = raw.tolist(), raw, [MATCH_BITS] * 16, []
     for _ in range(PATHS[level]):
         bits = np.maximum(1, _bits(literals, 256, 8)).tolist() if len(literals) >= HUFFMAN_LEAST else [8] * 256
         cost, step = [0.0] * (n + 1), [1] * n
@@ -188,19 +118,19 @@ def cheapest(data: bytes, start: int, level: int) -> tuple[list[tuple[int, int,
                 if length >= one and (more := cost[at + length] + tokens[15] + 8 * len(wire.varint(length - one))) <= least:
                     least, step[at] = more, length
             cost[at] = least
-        out, at, anchor, plain = [], 0, 0, np.ones(n, bool)
+        out, at, plain, runs, anchor = [], 0, np.ones(n, bool), [], 0
         while at < n:
             if step[at] > 1:
-                out.append((at - anchor, step[at], distances[at]))
+                out.append((at, step[at]))
+                runs.append(at - anchor)
                 plain[at : at + step[at]] = False
                 anchor = at + step[at]
             at += step[at]
         literals = raw[plain]
         if level == 7 and len(out) >= HUFFMAN_LEAST:
-            runs, sizes, _ = np.minimum(np.array(out) - [0, MIN_MATCH, 0], 15).T
-            run = _bits(runs, 16, 8)[runs].mean()
-            tokens = (MATCH_BITS - 8 + run + _bits(sizes, 16, 8)).tolist()
-    return out, start + anchor
+            runs_, sizes = np.minimum(runs, 15), np.minimum(np.array(out)[:, 1] - MIN_MATCH, 15)
+            tokens = (MATCH_BITS - 8 + _bits(runs_, 16, 8)[runs_].mean() + _bits(sizes, 16, 8)).tolist()
+    return out
 
 
 # -- literal sections -------------------------------------------------------------------------------------------
@@ -296,42 +226,45 @@ def decode_literals(kind: int, data: bytes, n: int, table: bytes | None) -> byte
 # -- blocks -----------------------------------------------------------------------------------------------------
 
 
-def _extras(values: list[int], cap: int) -> bytes:
-    return wire.varint(values[0] - cap) if values[0] >= cap else b""
+def encode_payloads(blocks: list[bytes], level: int, dictionary: Dictionary = NO_DICT) -> list[tuple[int, bytes]]:
+    """Block types and payloads: words of sequences at levels 1 and 2, separate streams above; raw bytes where that is not smaller."""
+    line = matches.Line(blocks, dictionary.content)
+    found = find(line, level)
+    texts, cap = line.texts(found), 255 if level <= 2 else 15
+    more = matches.extras(found, cap)
+    runs, sizes = np.minimum(found.literals, cap), np.minimum(found.length - MIN_MATCH, cap)
+    bounds, out = found.bounds.tolist(), []
+    if level <= 2:
+        words = (runs << 24 | sizes << 16 | found.distance - 1).astype("<u4").tobytes()
+    else:
+        tokens_, far = (runs << 4 | sizes).astype(np.uint8), found.distance - 1
+        wide = np.concatenate([[0], np.cumsum(far > 255)])
+        near, full = far.astype(np.uint8).tobytes(), far.astype("<u2").tobytes()
+    for data, text, extra, a, b in zip(blocks, texts, more, bounds[:-1], bounds[1:], strict=True):
+        if level <= 2:
+            kind, head, body = wire.GHI, struct.pack("<IIBBBB", b - a, len(text), 0, 0, 0, 0), words[4 * a : 4 * b]
+            section = text
+        else:
+            lit, section = encode_literals(text, level, dictionary.table)
+            raw = tokens_[a:b]
+            tokens, tok = raw.tobytes(), 0
+            if level == 7 and len(tokens) >= HUFFMAN_LEAST:
+                lengths = code_lengths(np.bincount(raw, minlength=256))
+                packed = pack_lengths(lengths) + Tree(lengths).encode(raw)
+                if _cost(wire.LIT_HUFFMAN, len(packed), len(tokens), level) < len(tokens):
+                    tokens, tok = packed, 2
+            narrow = bool(wide[b] == wide[a])
+            head = struct.pack("<IIBBBB", b - a, len(text), lit, tok, 0, narrow)
+            head += (struct.pack("<I", len(section)) if lit else b"") + (struct.pack("<I", len(tokens)) if tok else b"")
+            kind, body = wire.GLO, tokens + (near[a:b] if narrow else full[2 * a : 2 * b])
+        body += extra
+        payload = head + section + body + bytes(max(0, wire.SLACK - len(body)))
+        out.append((kind, payload) if 8 + len(payload) < len(data) else (wire.RAW, data))
+    return out
 
 
 def encode_payload(data: bytes, level: int, dictionary: Dictionary = NO_DICT) -> tuple[int, bytes]:
-    """Block type and payload: words of sequences at levels 1 and 2, separate streams above; raw bytes where that is not smaller."""
-    whole = dictionary.content + data
-    sequences, rest = parse(whole, len(dictionary.content), level)
-    at, parts = len(dictionary.content), []
-    for literals, length, _ in sequences:
-        parts.append(whole[at : at + literals])
-        at += literals + length
-    text = b"".join(parts) + whole[rest:]
-    cap = 255 if level <= 2 else 15
-    extras = b"".join(_extras([literals], cap) + _extras([length - MIN_MATCH], cap) for literals, length, _ in sequences)
-    if level <= 2:
-        words = b"".join(struct.pack("<I", min(a, 255) << 24 | min(m - MIN_MATCH, 255) << 16 | d - 1) for a, m, d in sequences)
-        kind, head, body = wire.GHI, struct.pack("<IIBBBB", len(sequences), len(text), 0, 0, 0, 0), words
-        section = text
-    else:
-        lit, section = encode_literals(text, level, dictionary.table)
-        tokens, tok = bytes(min(a, 15) << 4 | min(m - MIN_MATCH, 15) for a, m, _ in sequences), 0
-        if level == 7 and len(tokens) >= HUFFMAN_LEAST:
-            raw = np.frombuffer(tokens, np.uint8)
-            lengths = code_lengths(np.bincount(raw, minlength=256))
-            packed = pack_lengths(lengths) + Tree(lengths).encode(raw)
-            if _cost(wire.LIT_HUFFMAN, len(packed), len(tokens), level) < len(tokens):
-                tokens, tok = packed, 2
-        narrow = all(d <= 256 for _, _, d in sequences)
-        offsets = np.array([d - 1 for _, _, d in sequences], "u1" if narrow else "<u2").tobytes()
-        head = struct.pack("<IIBBBB", len(sequences), len(text), lit, tok, 0, narrow)
-        head += (struct.pack("<I", len(section)) if lit else b"") + (struct.pack("<I", len(tokens)) if tok else b"")
-        kind, body = wire.GLO, tokens + offsets
-    body += extras
-    payload = head + section + body + bytes(max(0, wire.SLACK - len(body)))
-    return (kind, payload) if 8 + len(payload) < len(data) else (wire.RAW, data)
+    return encode_payloads([data], level, dictionary)[0]
 
 
 def decode_payload(kind: int, payload: bytes, most: int, dictionary: Dictionary = NO_DICT) -> bytes:
@@ -368,43 +301,54 @@ def decode_payload(kind: int, payload: bytes, most: int, dictionary: Dictionary
     section, at = payload[at : at + tok_size], at + tok_size
     if kind == wire.GHI:
         words = np.frombuffer(section, "<u4")
-        runs, matches, distances, cap = words >> 24, words >> 16 & 255, (words & 0xFFFF).astype(np.int64) + 1, 255
+        runs, matches_, distances, cap = words >> 24, words >> 16 & 255, (words & 0xFFFF).astype(np.int64) + 1, 255
     else:
         tokens = np.frombuffer(decode_literals(wire.LIT_HUFFMAN, section, count, None) if tok else section, np.uint8)
-        runs, matches, cap = tokens >> 4, tokens & 15, 15
+        runs, matches_, cap = tokens >> 4, tokens & 15, 15
         distances = np.frombuffer(payload, "u1" if narrow else "<u2", count, at).astype(np.int64) + 1
         at += off_size
-    out, base, used = bytearray(dictionary.content), len(dictionary.content), 0
-    for run, match, distance in zip(runs.tolist(), matches.tolist(), distances.tolist(), strict=True):
-        if run == cap:
-            more, at = wire.read_varint(payload, at)
-            run += more
-        if match == cap:
-            more, at = wire.read_varint(payload, at)
-            match += more
-        match += MIN_MATCH
-        if used + run > n or len(out) - base + run + match > most:
-            raise ArchiveError("CORRUPT_DATA")
-        out += literals[used : used + run]
-        used += run
-        if distance > len(out):
-            raise ArchiveError("BAD_OFFSET")
-        if distance >= match:
-            out += out[len(out) - distance : len(out) - distance + match]
-        else:
-            unit = bytes(out[-distance:])
-            out += (unit * (match // distance + 1))[:match]
-    out += literals[used:]
-    if len(out) - base > most:
+    runs, lengths, cut = runs.astype(np.int64), matches_.astype(np.int64) + MIN_MATCH, None
+    longer = np.flatnonzero((runs == cap) | (lengths == cap + MIN_MATCH))
+    if len(longer):
+        try:
+            for i, r, m in zip(longer.tolist(), (runs[longer] == cap).tolist(), (lengths[longer] == cap + MIN_MATCH).tolist(), strict=True):
+                cut = i
+                if r:
+                    value, at = wire.read_varint(payload, at)
+                    runs[i] += value
+                if m:
+                    value, at = wire.read_varint(payload, at)
+                    lengths[i] += value
+            cut = None
+        except ArchiveError:  # what is wrong before counts first
+            runs, lengths, distances = runs[:cut], lengths[:cut], distances[:cut]
+    before = np.frombuffer(dictionary.content, np.uint8)
+    used, ends = np.cumsum(runs), np.cumsum(runs + lengths)
+    wrong = np.flatnonzero((used > n) | (ends > most))
+    lost = np.flatnonzero(distances > len(before) + ends - lengths)
+    if len(lost) and (not len(wrong) or lost[0] < wrong[0]):
+        raise ArchiveError("BAD_OFFSET")
+    if len(wrong) or cut is not None or n + int(lengths.sum()) > most:
         raise ArchiveError("CORRUPT_DATA")
-    return bytes(out[base:])
+    return matches.resolve(np.frombuffer(literals, np.uint8), before, runs, lengths, distances).tobytes()
+
+
+def encode_blocks(blocks: list[bytes], level: int = 3, *, checksums: bool = False, dictionary: Dictionary = NO_DICT) -> list[bytes]:
+    """Blocks with their headers and, if asked for, their checksums."""
+    level, out, at = 3 if level <= 0 else min(level, 7), [], 0
+    while at < len(blocks):
+        end, size = at, 0
+        while end < len(blocks) and (end == at or size + len(blocks[end]) <= TOGETHER):
+            size += len(blocks[end])
+            end += 1
+        for kind, payload in encode_payloads(blocks[at:end], level, dictionary):
+            out.append(wire.block_header(kind, len(payload)) + payload + (struct.pack("<I", wire.checksum(payload)) if checksums else b""))
+        at = end
+    return out
 
 
 def encode_block(data: bytes, level: int = 3, *, checksums: bool = False, dictionary: Dictionary = NO_DICT) -> bytes:
-    """A block with its header and, if asked for, its checksum."""
-    level = 3 if level <= 0 else min(level, 7)
-    kind, payload = encode_payload(data, level, dictionary)
-    return wire.block_header(kind, len(payload)) + payload + (struct.pack("<I", wire.checksum(payload)) if checksums else b"")
+    return encode_blocks([data], level, checksums=checksums, dictionary=dictionary)[0]
 
 
 def decode_block(data: bytes, most: int = wire.MAX_BLOCK, *, checksums: bool = False, dictionary: Dictionary = NO_DICT) -> bytes:
@@ -448,9 +392,16 @@ def assemble(blocks: list[bytes], size: int, options: Options) -> bytes:
     return head + b"".join(blocks) + wire.block_header(wire.EOF, 0) + seek + wire.footer(size, total)
 
 
+def encode_many(contents: list[bytes], options: Options = Options()) -> list[bytes]:  # noqa: B008
+    """An archive of each content; their blocks are encoded together."""
+    size = options.block_size
+    cut = [[data[i : i + size] for i in range(0, len(data), size)] for data in contents]
+    made = iter(encode_blocks([b for own in cut for b in own], options.level, checksums=options.checksums, dictionary=options.dictionary))
+    return [assemble([next(made) for _ in own], len(data), options) for own, data in zip(cut, contents, strict=True)]
+
+
 def encode(data: bytes, options: Options = Options()) -> bytes:  # noqa: B008
-    blocks = [encode_block(data[i : i + options.block_size], options.level, checksums=options.checksums, dictionary=options.dictionary) for i in range(0, len(data), options.block_size)]
-    return assemble(blocks, len(data), options)
+    return encode_many([data], options)[0]
 
 
 def decode(data: bytes, dictionary: Dictionary = NO_DICT, *, verify: bool = True) -> bytes:

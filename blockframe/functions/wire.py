@@ -73,8 +73,9 @@ def rapidhash(data: bytes, seed: int = 0) -> int:
             words = struct.unpack_from(f"<{14 * rounds}Q", data)
             for k in range(7):
                 lane, secret = seed, s[k]
-                for i in range(2 * k, 14 * rounds, 14):
-                    lane = _fold(words[i] ^ secret, words[i + 1] ^ lane)
+                for a, b in zip(words[2 * k :: 14], words[2 * k + 1 :: 14], strict=True):
+                    product = (a ^ secret) * (b ^ lane)
+                    lane = (product ^ product >> 64) & M64
                 lanes[k] = lane
             seed = 0
             for lane in lanes:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from blockframe.functions import codec
@@ -13,16 +15,40 @@ from blockframe.functions.wire import ERRORS, ArchiveError
 _CODE = {name: code for code, name in ERRORS.items()}
 
 
+#: Bytes of contents that are encoded together.
+TOGETHER = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as tasks can run at once: a file of one row group is one partition, and coding costs far more than dealing its rows anew. Larger inputs stay as they are."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, f: Callable[..., tuple]) -> DataFrame:
-    """f(values of columns) gives the values of schema's further columns, next to all of columns' first. Rows are handled one by one, so a batch holds no more than its input and output."""
+    """f(values of columns) gives the values of schema's further columns, next to all of columns' first."""
+    return map_columns(df, columns, schema, lambda *values: [f(*row) for row in zip(*values, strict=True)])
+
+
+def map_columns(df: DataFrame, columns: list[str], schema: str, f: Callable[..., list[tuple]]) -> DataFrame:
+    """f(lists of the columns' values) gives a tuple of schema's further columns for each row, next to all of columns' first. It gets rows of TOGETHER bytes about (or one larger one) at once."""
     names = [part.strip().split()[0] for part in schema.split(", ")]
     kinds = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in columns[:1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [f(*values) for values in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            made = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_pydict({columns[0]: batch.column(0)} | {n: pa.array(list(v), _TYPES[part.split()[1]]) for n, v, part in zip(names, made, schema.split(", "), strict=True)})
+            at = 0
+            sizes = np.zeros(batch.num_rows, np.int64)
+            for c in batch.columns:
+                if pa.types.is_binary(c.type) or pa.types.is_string(c.type):
+                    sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
+                part = batch.slice(at, end - at)
+                made = list(zip(*f(*(c.to_pylist() for c in part.columns)), strict=True))
+                yield pa.RecordBatch.from_pydict({columns[0]: part.column(0)} | {n: pa.array(list(v), _TYPES[t.split()[1]]) for n, v, t in zip(names, made, schema.split(", "), strict=True)})
+                at = end
 
     return df.select(*columns).mapInArrow(run, f"{kinds}, {schema}")
 
@@ -35,8 +61,13 @@ def to_bytes(value: str | bytes | None) -> bytes | None:
 
 
 def encode(df: DataFrame, key: str, data: str, options: codec.Options) -> DataFrame:
-    """key, archive. Null data give null."""
-    return map_rows(df, [key, data], "archive binary", lambda _, d: (None if d is None else codec.encode(to_bytes(d), options),))
+    """key, archive. Null data give null. Blocks of many rows are encoded together."""
+
+    def all_of(_, contents: list) -> list[tuple]:
+        made = iter(codec.encode_many([to_bytes(d) for d in contents if d is not None], options))
+        return [(None if d is None else next(made),) for d in contents]
+
+    return map_columns(spread(df.select(key, data)), [key, data], "archive binary", all_of)
 
 
 def decode(df: DataFrame, key: str, archive: str = "archive", dictionary: codec.Dictionary = codec.NO_DICT) -> DataFrame:
