@@ -55,6 +55,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, each: int, least: int) -> int:
+    """Into how many parts to deal df, so that a part stands for `each` bytes of what Spark estimates df to hold (for files: their size); `least` at least, and where Spark has no estimate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // each)) if size < 1 << 53 else least
+
+
+#: Keys of more than 1 / HOT of all rows, of which there are fewer than HOT, are broadcast to their rows; rows of other keys meet theirs in a shuffle.
+HOT = 10_000
+
+
+def join_dealt(rows: DataFrame, groups: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner, left or left_anti) with groups, one row a key, whose column n is at least the number of the key's rows among the total. No key of the shuffle has more than total / HOT rows."""
+    hot, cold = groups.where(F.col("n") > total / HOT), groups.where(F.col("n") <= total / HOT)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return rest if how == "left_anti" else rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 _LIBC = ctypes.CDLL(None)
 
 

@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import checkpointed
+from blockframe.llm.common import checkpointed, join_dealt
+
+
+def _mark(edges: DataFrame) -> Row:
+    """Number and a hash of the links."""
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: columns a, b (long). Returns node, component (the smallest node reachable) for every node that has a link to another.
 
     Alternates large-star and small-star steps (Kiveris and others, "Connected Components in MapReduce and Beyond") until the links no longer change: a
-    logarithmic number of rounds. A step joins each node's least neighbour with its links; neighbours are never listed, and a node with very many links is
-    only a skewed join key, which Spark splits.
+    logarithmic number of rounds. A step joins each node's least neighbour with its links; neighbours are never listed, and nodes with a large part of all links,
+    a bounded number, are broadcast to them.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
+    mark = _mark(edges)
+    while mark.n:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = checkpointed(join_dealt(both.where("b > a"), least, ["a"], mark.n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_dealt(large, least, ["a"], mark.n)
         edges = checkpointed(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        new = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if new == mark:
+        before, mark = mark, _mark(edges)
+        if mark == before:
             break
-        mark = new
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -5,19 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import ascii_lower, checkpointed, table, unused
+from blockframe.llm.common import ascii_lower, checkpointed, join_dealt, table, unused
 
 #: Bytes of the normalised text that the second level hashes.
 PREFIX_BYTES = 256
-#: Groups of more than 1 / HOT of all rows, of which there are fewer than HOT, are broadcast to their members; members of other groups meet theirs in a shuffle.
-HOT = 10_000
-
-
-def _join(rows: DataFrame, groups: DataFrame, on: list[str], total: int, how: str) -> DataFrame:
-    """rows joined (inner, left or left_anti) with groups, whose column n is the group's size among the total rows. No key of the shuffle has more than total / HOT rows."""
-    hot, cold = groups.where(F.col("n") > total / HOT), groups.where(F.col("n") <= total / HOT)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
-    return rest if how == "left_anti" else rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, prefix_bytes: int, digest_all: bool) -> DataFrame:
@@ -29,17 +20,17 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, prefix_bytes: int, dige
     rows = checkpointed(docs.select(*keys, *([digest] if digest_all else [])))
     total = rows.count()
     by_len = checkpointed(rows.groupBy("len").agg(F.count("*").alias("n")).where("n > 1"))
-    level1 = _join(rows, by_len, ["len"], total, "inner")
+    level1 = join_dealt(rows, by_len, ["len"], total, "inner")
     prefix = ["len", "ph"]
     by_prefix = checkpointed(level1.groupBy(*prefix).agg(F.count("*").alias("n")).where("n > 1"))
     whole = rows if digest_all else docs.select(*keys, norm.alias("norm"))
-    level2 = checkpointed(_join(whole, by_prefix, prefix, total, "inner").select("id", *prefix, "text_sha256" if digest_all else digest))
+    level2 = checkpointed(join_dealt(whole, by_prefix, prefix, total, "inner").select("id", *prefix, "text_sha256" if digest_all else digest))
     full = [*prefix, "text_sha256"]
     groups = checkpointed(level2.groupBy(*full).agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1"))
-    alone = _join(rows, by_prefix, prefix, total, "left_anti").select("id", *prefix, "text_sha256" if digest_all else F.lit(None).cast("string").alias("text_sha256"))
+    alone = join_dealt(rows, by_prefix, prefix, total, "left_anti").select("id", *prefix, "text_sha256" if digest_all else F.lit(None).cast("string").alias("text_sha256"))
     none = [F.lit(None).cast(groups.schema["keep"].dataType).alias("keep"), F.lit(None).cast("long").alias("n")]
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
-    return _join(level2, groups, full, total, "left").unionByName(alone.select("*", *none)).select(
+    return join_dealt(level2, groups, full, total, "left").unionByName(alone.select("*", *none)).select(
         "id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256", "len", "ph"
     )
 

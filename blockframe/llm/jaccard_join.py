@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap enough, by count vectors in an R-tree.
 
 The tree needs documents that may match close together. They get there by partition signatures: sets of similar size whose
-symmetric difference is at most t agree wholly in one of t + 1 parts, so documents are dealt by the print of each part. Below PERCENT such parts are too small to tell documents
+symmetric difference is at most t agree wholly in one of t + 1 parts of the shingles' groups, so documents are dealt by the print of each part. Below PERCENT such parts are too small to tell documents
 apart; there, documents are dealt by their rarest shingles. Documents that share a part or such a shingle, directly or through others, form a cell. In a cell, an R-tree over count vectors bounds the overlap and the surviving pairs are verified exactly.
 """
 
@@ -13,10 +13,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import LOWER, UPPER, checkpointed, hand_back, handing_back, shuffle_partitions, table, unused
+from blockframe.llm.common import LOWER, UPPER, checkpointed, hand_back, handing_back, join_dealt, parts_for, shuffle_partitions, table, unused
 from blockframe.llm.components import components
 from blockframe.llm.poly import Prints, U, mix
 from blockframe.llm.recompression import word_bounds
@@ -30,12 +30,13 @@ STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 MAX_COMMON = 1 << 22
 #: Coordinates of a count vector; points of an R-tree leaf or node.
 GROUPS, FANOUT = 64, 16
-#: Documents of a cell that meet in one task; larger cells are verified block by block.
+#: Documents of a cell that meet in one task. In larger cells all are first compared with the first one, and then those that don't link with it with all, block by block.
 BLOCK = 512
 FLUSH_SHINGLES = 1 << 22
-SPREAD = 2
+#: Buckets for each shuffle partition, and bytes of the input for each bucket.
+SPREAD, BUCKET_BYTES = 2, 64 << 20
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-BASE, SAME, PARTS = 0, 1, 2
+BASE, SAME, PARTS, PAIRS = 0, 1, 2, 3
 FOUND = "kind int, a long, b long, n long"
 
 
@@ -108,8 +109,19 @@ def signatures(prints: np.ndarray, bounds: np.ndarray, percent: int = PERCENT) -
         keep = rank >= spare[of]
         content = sums[stop] - sums[stop - count]
         sign = mix(content + mix((level[of] << 40 | number << 16 | np.minimum(count, 65535)).astype(U)))
+        empty = keep & (count == 0) & (parts[of] > 1)
+        keep &= ~empty
         out.append(sign[keep])
         whose.append(sets[of[keep]])
+        # an empty part says nothing of a set: in its place come the parts of a second division, of which one at least agrees again
+        for s, k in zip(of[empty].tolist(), number[empty].tolist(), strict=True):
+            own, n_parts = prints[bounds[sets[s]] : bounds[sets[s] + 1]], int(parts[s])
+            where = ((mix(own) >> U(32)) * U(n_parts) >> U(32)).astype(np.int64)
+            total, held = np.zeros(n_parts, U), np.bincount(where, minlength=n_parts)
+            np.add.at(total, where, mix(own))
+            label = (int(level[s]) << 40 | k << 28 | 1 << 27) + np.arange(n_parts)
+            out.append(mix(total + mix(mix(label.astype(U)) + held.astype(U))))
+            whose.append(np.full(n_parts, sets[s]))
     return (np.concatenate(out), np.concatenate(whose)) if out else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
@@ -189,6 +201,17 @@ def verify(docs: list[int], sets: list[np.ndarray], sides: list[bool] | None = N
     return out
 
 
+def stars(sign: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each signature once, its smallest document, and distinct pairs (that one, another of the signature)."""
+    order = np.lexsort((doc, sign))
+    sign, doc = sign[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]])) if len(sign) else np.zeros(0, np.int64)
+    star = doc[np.repeat(first, np.diff(np.append(first, len(sign))))]
+    other = doc != star
+    pairs = np.unique(np.stack([star[other], doc[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+    return sign[first], doc[first], pairs
+
+
 def _found(kind: int, a, b, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["kind", "a", "b", "n"])
 
@@ -257,8 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have component_id null. Other columns are ignored. Every link between different sets is found; equal sets of one task are collapsed first.
     """
     spark = docs.sparkSession
-    buckets = SPREAD * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    buckets = parts_for(rows, BUCKET_BYTES, SPREAD * shuffle_partitions(spark))
     common = None if percent >= PERCENT else spark.sparkContext.broadcast(common_shingles(rows, size, buckets))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +293,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for ids, null, held in base:
                 out.append((int(np.abs(ids[0])) % buckets, BASE, _pack(ids.astype("<i8"), held.astype("<i8"), null.astype("u1"))))
             if signs:
-                sign, doc = np.concatenate(signs), np.concatenate(whose)
+                sign, doc, pairs = stars(np.concatenate(signs), np.concatenate(whose))
+                if len(pairs):  # this task's documents of one signature: the first stands for them
+                    out.append((int(np.abs(pairs[0, 0])) % buckets, PAIRS, _pack(*pairs.T.copy())))
                 where = (sign % U(buckets)).astype(np.int64)
                 order = np.lexsort((doc, where))
                 sign, doc, where = sign[order], doc[order], where[order]
@@ -316,29 +341,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if kind == BASE:
                 ids, held, null = _unpack(data, "<i8", "<i8", "u1")
                 out.append(_found(BASE, pa.array(ids, mask=null.astype(bool)), np.zeros(len(ids), np.int64), held))
-            elif kind == SAME:
+            elif kind in (SAME, PAIRS):
                 a, b = _unpack(data, "<i8", "<i8")
-                out.append(_found(SAME, a, b, np.zeros(len(a), np.int64)))
+                out.append(_found(SAME if kind == SAME else PARTS, a, b, np.zeros(len(a), np.int64)))
             else:
                 sign, doc = _unpack(data, "<u8", "<i8")
                 signs.append(sign)
                 docs_.append(np.cumsum(doc))
         if signs:
-            sign, doc = np.concatenate(signs), np.concatenate(docs_)
-            order = np.lexsort((doc, sign))
-            sign, doc = sign[order], doc[order]
-            first = np.flatnonzero(np.diff(sign, prepend=sign[:1] + U(1)))
-            star = doc[np.repeat(first, np.diff(np.append(first, len(sign))))]
-            other = doc != star
-            pairs = np.unique(np.stack([star[other], doc[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+            _, _, pairs = stars(np.concatenate(signs), np.concatenate(docs_))
             out.append(_found(PARTS, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)))
         hand_back()
         return pa.Table.from_batches(out)
 
     found = checkpointed(rows.mapInArrow(handing_back(scan), "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(meet, FOUND))
     cells = checkpointed(components(found.where(F.col("kind") == PARTS).select("a", "b")))
-    blocks = cells.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = cells.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    total = cells.count()
+    sizes = checkpointed(cells.groupBy("component").agg(F.count("*").alias("n")))
+    members = checkpointed(join_dealt(cells, sizes, ["component"], total))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,22 +367,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 prints, bounds = shingle_sets(texts[a:b], size)
                 data = prints.astype("<u8").tobytes()
                 blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((bounds * 8).astype(np.int32).tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 2, 3, 4)), blobs], ["doc", "component", "block", "blocks", "data"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 2, 3)), blobs], ["doc", "component", "n", "data"])
 
     def check(group: pa.Table) -> pa.Table:
+        """Links within each task's documents, or where they have sides, across these."""
         cell = {}
-        for row in zip(*(group[c].to_pylist() for c in ("component", "low", "high", "block", "doc", "data")), strict=True):
+        for row in zip(*(group[c].to_pylist() for c in ("component", "low", "high", "side", "doc", "data")), strict=True):
             cell.setdefault(row[:3], []).append(row[3:])
         out = []
-        for (_, low, high), own in cell.items():
-            own.sort()
-            out += verify([d for _, d, _ in own], [np.frombuffer(x, "<u8") for _, _, x in own], None if low == high else [b == low for b, _, _ in own], percent)
+        for own in cell.values():
+            own.sort(key=lambda x: (x[1], x[0] or False))
+            out += verify([d for _, d, _ in own], [np.frombuffer(x, "<u8") for _, _, x in own], None if own[0][0] is None else [s for s, _, _ in own], percent)
         hand_back()
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    data = rows.join(members, F.col("doc") == F.col("node")).select("doc", "text", "component", "block", "blocks").mapInArrow(handing_back(sets), "doc long, component long, block int, blocks int, data binary")
-    spread = data.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "data")
-    links = spread.withColumn("bucket", F.pmod(F.xxhash64("component", "low", "high"), F.lit(2 * buckets)).cast("int")).groupBy("bucket").applyInArrow(check, "a long, b long")
+    def checked(tasks: DataFrame) -> DataFrame:
+        """tasks: component, low, high (these three name a task), side, doc, data."""
+        return tasks.withColumn("bucket", F.pmod(F.xxhash64("component", "low", "high"), F.lit(2 * buckets)).cast("int")).groupBy("bucket").applyInArrow(check, "a long, b long")
+
+    def block(blocks: Column) -> Column:
+        return F.pmod(F.xxhash64("doc"), blocks).cast("int")
+
+    def in_blocks(n: Column) -> Column:
+        return F.ceil(n / BLOCK).cast("int")
+
+    zero, data = F.lit(0), rows.join(members, F.col("doc") == F.col("node")).select("doc", "text", "component", "n")
+    made = lambda some: some.mapInArrow(handing_back(sets), "doc long, component long, n long, data binary")
+    links = checked(made(data.where(F.col("n") <= BLOCK)).select("component", zero.alias("low"), zero.alias("high"), F.lit(None).cast("boolean").alias("side"), "doc", "data"))
+    if sizes.where(F.col("n") > BLOCK).limit(1).count():
+        large = checkpointed(made(data.where(F.col("n") > BLOCK)))
+        blocks = in_blocks(F.col("n"))
+        first = large.where("doc = component")  # a cell is named by its smallest document
+        with_first = first.withColumn("low", F.explode(F.sequence(zero, blocks - 1))).withColumn("side", F.lit(True)).unionByName(large.where("doc <> component").withColumn("low", block(blocks)).withColumn("side", F.lit(False)))
+        near_first = checkpointed(checked(with_first.select("component", "low", F.lit(-1).alias("high"), "side", "doc", "data")))
+        open_ = checkpointed(large.where("doc <> component").join(near_first.select(F.greatest("a", "b").alias("linked")).distinct(), F.col("doc") == F.col("linked"), "left_anti"))
+        left = open_.groupBy("component").agg(F.count("*").alias("m"))
+        if left.limit(1).count():
+            left = checkpointed(left.join(sizes, "component"))
+            ours = join_dealt(open_.drop("n"), left, ["component"], total).withColumn("low", block(in_blocks(F.col("m")))).withColumn("high", F.explode(F.sequence(zero, blocks - 1))).withColumn("side", F.lit(True))
+            theirs = join_dealt(large.drop("n"), left, ["component"], total).withColumn("high", block(blocks)).withColumn("low", F.explode(F.sequence(zero, in_blocks(F.col("m")) - 1))).withColumn("side", F.lit(False))
+            task = ["component", "low", "high", "side", "doc", "data"]
+            near_first = near_first.unionByName(checked(ours.select(*task).unionByName(theirs.select(*task))))
+        links = links.unionByName(near_first)
     groups = components(links.unionByName(found.where(F.col("kind") == SAME).select("a", "b")))
     base = found.where(F.col("kind") == BASE).select(F.col("a").alias("id"), F.col("n").alias("n_shingles"))
     return base.join(groups, F.col("id") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

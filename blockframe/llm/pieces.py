@@ -28,6 +28,7 @@ PART_BYTES = 1 << 18
 #: Distinct segments that a worker remembers during a task.
 REMEMBERED = 120_000
 NORMAL, BYTE = 1, 6
+UNIGRAM, BPE = 1, 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -103,9 +104,16 @@ class DoubleArray:
         self.base, self.check, self.value = (np.append(x, np.full(end - len(x), fill, np.int32)) for x, fill in ((self.base, 0), (self.check, 0), (self.value, -1)))
 
 
+def zipf_scores(ranks: np.ndarray) -> np.ndarray:
+    """Log scores of pieces that are known by their rank alone (0: the most frequent): by Zipf's law the k-th has the share 1 / k, over the sum of these. To single precision, as in model files."""
+    order = np.empty(len(ranks), np.int64)
+    order[np.argsort(ranks, kind="stable")] = np.arange(1, len(ranks) + 1)
+    return (-np.log(order) - np.log((1 / np.arange(1, len(ranks) + 1)).sum())).astype(np.float32).astype(np.float64)
+
+
 @dataclass
 class Vocabulary:
-    """pieces (bytes), scores, kinds (as in a SentencePiece model file)."""
+    """pieces (bytes), scores (logarithms of shares), kinds (as in a SentencePiece model file)."""
 
     pieces: list[bytes]
     scores: np.ndarray
@@ -113,9 +121,10 @@ class Vocabulary:
     dummy_prefix: bool
 
     @classmethod
-    def load(cls, path: str) -> Vocabulary:
-        """From a model file whose normaliser is the identity; others are refused."""
-        pieces, scores, kinds, dummy = [], [], [], True
+    def load(cls, path: str, ranked: bool = False) -> Vocabulary:
+        """From a model file whose normaliser is the identity; others are refused. A Unigram model's scores are log scores. A BPE model's are the negative ranks of its
+        merges: with ranked=True pieces get the log scores of these ranks (see zipf_scores), else such a file is refused too."""
+        pieces, scores, kinds, dummy, model = [], [], [], True, UNIGRAM
         with open(path, "rb") as f:
             data = f.read()
         for number, _, value in _fields(data):
@@ -124,12 +133,20 @@ class Vocabulary:
                 pieces.append(got[1])
                 scores.append(float(np.frombuffer(got.get(2, b"\0" * 4), "<f4")[0]))
                 kinds.append(got.get(3, NORMAL))
+            elif number == 2:
+                model = {n: v for n, _, v in _fields(value)}.get(3, UNIGRAM)
             elif number == 3:
                 norm = {n: v for n, _, v in _fields(value)}
                 dummy = bool(norm.get(3, 1))
                 if norm.get(2) or norm.get(4, 1):
                     raise ValueError("the model's normaliser changes texts")
-        return cls(pieces, np.array(scores), np.array(kinds), dummy)
+        made = cls(pieces, np.array(scores), np.array(kinds), dummy)
+        if model != UNIGRAM:
+            if model != BPE or not ranked:
+                raise ValueError("the model's scores are no log scores")
+            plain = made.kinds == NORMAL
+            made.scores[plain] = zipf_scores(-made.scores[plain])
+        return made
 
     def check(self) -> Vocabulary:
         """The properties that the segments rely on: bytes to fall back on, and no piece that goes on with a mark after another character."""
@@ -306,7 +323,7 @@ _LOADED: dict[str, Vocabulary] = {}
 
 def vocabulary(path: str) -> Vocabulary:
     if path not in _LOADED:
-        _LOADED[path] = Vocabulary.load(path).check()
+        _LOADED[path] = Vocabulary.load(path, ranked=True).check()
     return _LOADED[path]
 
 
@@ -316,6 +333,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
     Each task loads the vocabulary file at path (the same on every machine). Pieces are chosen by the highest sum of scores over each text; ties
     go to the path whose last piece begins first. A character that no piece holds becomes its UTF-8 bytes' pieces. round_trip tells whether
     decoding gives the text back: always, but for texts that hold the mark U+2581 itself, which decodes to a space.
+    Repeated rows are encoded each; an empty table gives no rows. Texts may be of any length.
     """
     names = [c for c in docs.columns if c not in (text_col, "ids", "round_trip")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
@@ -343,7 +361,8 @@ def model_path() -> str:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_pieces, n_bytes (pieces that are bytes), ids_crc32 (of the ids as little-endian 32-bit integers), round_trip. Null texts count as empty."""
+    """Per document: doc_id, n_pieces, n_bytes (pieces that are bytes), ids_crc32 (of the ids as little-endian 32-bit integers), round_trip. Null texts count as empty, rows
+    of any id are encoded each; ties between paths go to the one whose last piece begins first. Other columns are ignored; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     path = model_path()
 
@@ -367,5 +386,5 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: doc_id, lang, source and the pieces' ids of each document."""
+    """Pipeline stage, the last: doc_id, lang, source and the pieces' ids of each document (round_trip: whether they give its text back); all other columns go. Null texts have null ids."""
     return encode_pieces(docs.select("doc_id", "lang", "source", "text"), model_path())

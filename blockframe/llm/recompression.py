@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from blockframe.llm.poly import Prints, U, mix
+from blockframe.llm.poly import Rolling, U, mix
 
 #: Rounds of recompression, and consecutive symbols of the last round that name an anchor.
 ROUNDS, RUN = 2, 3
@@ -29,7 +29,7 @@ def join_round(names: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[np.
     join = (docs[at[1:]] == docs[at[:-1]]) & ((names[1:] == names[:-1]) | ((side[:-1] == 0) & (side[1:] == 1)))
     begin = np.flatnonzero(np.concatenate([[True], ~join]))
     end = np.append(begin[1:], len(names))
-    fresh = Prints(mix(names)).of(begin, end)
+    fresh = Rolling(mix(names)).of(begin, end)
     return np.where(end - begin > 1, fresh, names[begin]), at[begin]
 
 
@@ -74,7 +74,7 @@ def anchors(words: np.ndarray, docs: np.ndarray, starts: np.ndarray, size: int)
         return anchor, name
     first, last = upto[low] - 1, upto[high - 1]  # symbols first to last - 1
     for run in (RUN, 1):
-        keys = Prints(mix(names)).of(np.arange(len(names) - run + 1), np.arange(run, len(names) + 1)) + U(run)
+        keys = Rolling(mix(names)).of(np.arange(len(names) - run + 1), np.arange(run, len(names) + 1)) + U(run)
         fits = last - first >= run
         best = _least(keys, first[fits], last[fits] - run + 1) if fits.any() else np.zeros(0, np.int64)
         anchor[live[fits]], name[live[fits]] = at[best], keys[best]

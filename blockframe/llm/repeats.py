@@ -6,7 +6,7 @@
    get requests, join their text again and send more: fingerprints of single windows, or the bytes around the anchor.
 3. What matched, as spans of units, is gathered by document.
 
-Fingerprints have 128 bits where they settle anything (name and print). No text but that around unsettled anchors is
+Items are equal if their names and prints are (see poly: 62 bits that settle), and contexts if their bytes are. No text but that around unsettled anchors is
 shuffled for matching; documents are dealt by id once, for the join.
 """
 
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import checkpointed, shuffle_partitions
+from blockframe.llm.common import checkpointed, parts_for, shuffle_partitions
 from blockframe.llm.poly import Prints, U, mix
 from blockframe.llm.segments import chunks
 
@@ -28,10 +28,14 @@ from blockframe.llm.segments import chunks
 FLUSH = 1 << 20
 #: Different items of a name beyond which windows are compared one by one, dealt by their own fingerprints.
 WIDE = 20_000
-#: Buckets for each shuffle partition.
-SPREAD = 2
+#: Buckets for each shuffle partition, and bytes of the input for each bucket: there are as many buckets as either asks for.
+SPREAD, BUCKET_BYTES = 2, 64 << 20
 COLUMNS = {"name": "<u8", "print": "<u8", "doc": "<i8", "key": "<i8", "start": "<i4", "before": "<u2", "count": "<u2", "many": "<u1"}
-ITEMS, SPANS, CONTEXTS = 0, 1, 2
+#: Different items of a name beyond which a task no longer sends them all to the name's bucket: one goes, with a mark, and all are compared window by window.
+HOT = 64
+ITEMS, SPANS, CONTEXTS, REQUESTS = 0, 1, 2, 3
+#: Bits of many: the item has an equal one, its name has too many different ones.
+MATCHED, MARKED = 1, 2
 DEALT = "bucket int, kind int, data binary"
 FOUND = "kind int, doc long, key long, start int, stop int, name long, before int, done boolean, wide boolean"
 
@@ -89,14 +93,14 @@ def _classes(items: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.nd
     if not once.all():
         many = items["many"].copy()  # a place that comes twice may have been settled in only one of its tasks
         group = np.cumsum(once) - 1
-        np.maximum.at(merged := np.zeros(group[-1] + 1, many.dtype), group, many)
+        np.bitwise_or.at(merged := np.zeros(group[-1] + 1, many.dtype), group, many)
         items, name, cls = _take(items, once), name[once], cls[once]
         items["many"] = merged
     return items, cls, name
 
 
 def settle(items: dict[str, np.ndarray], earlier: bool, size: int) -> tuple[dict[str, np.ndarray], np.ndarray, dict[str, np.ndarray], np.ndarray]:
-    """Settles equal items. Returns items that are matched, their stops, the first item of each class (many: there are others), and where a name begins among these.
+    """Settles equal items. Returns items that are matched, their stops, the first item of each class (in many, MATCHED: there are others), and where a name begins among these.
 
     earlier: an item is matched if its class has an earlier one; else if its class has any other.
     """
@@ -104,9 +108,9 @@ def settle(items: dict[str, np.ndarray], earlier: bool, size: int) -> tuple[dict
     group = np.cumsum(cls) - 1
     n = np.bincount(group, minlength=int(cls.sum()))
     many = np.zeros(len(n), np.uint8)
-    np.maximum.at(many, group, items["many"])
-    many = np.maximum(many, n > 1)
-    hit = ~cls if earlier else many[group] > 0
+    np.bitwise_or.at(many, group, items["many"])
+    many[n > 1] |= MATCHED
+    hit = ~cls if earlier else many[group] & MATCHED > 0
     matched = _take(items, hit)
     first = _take(items, cls)
     first["many"] = many
@@ -129,6 +133,18 @@ def _spans(found: dict[str, np.ndarray], stop: np.ndarray) -> tuple[np.ndarray,
     return doc[first], key[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
 
 
+def _dealt_spans(matched: dict[str, np.ndarray], stop: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    if len(stop):
+        doc, key, start, stop = _spans(matched, stop)
+        zero = np.zeros(len(doc), np.int64)
+        spans = {"name": stop.astype(np.uint64), "print": zero, "doc": doc, "key": key, "start": start, "before": zero, "count": zero, "many": zero}
+        yield from _dealt(spans, doc.view(np.uint64), buckets, SPANS)
+
+
+def _asked(req: dict[str, np.ndarray], size: int, wide: np.ndarray) -> pa.RecordBatch:
+    return _found(ITEMS, req["doc"], req["key"], req["start"], req["start"] + req["count"].astype(np.int64) - 1 + size, req["name"], req["before"], req["many"] & MATCHED, wide)
+
+
 def _found(kind: int, doc, key, start, stop, name=None, before=None, done=None, wide=None) -> pa.RecordBatch:
     n = len(doc)
     zero = np.zeros(n, np.int64)
@@ -182,7 +198,7 @@ def find_spans(docs: DataFrame, make: type[Units], near: Callable | None = None)
     Identical rows count as one document. near: settles names by the bytes around their anchors (see suffix_sort.near); without it windows are compared one by one.
     """
     spark = docs.sparkSession
-    buckets = SPREAD * shuffle_partitions(spark)
+    buckets = parts_for(docs, BUCKET_BYTES, SPREAD * shuffle_partitions(spark))
     docs = docs.where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     size, earlier = make.size, make.earlier
 
@@ -190,13 +206,15 @@ def find_spans(docs: DataFrame, make: type[Units], near: Callable | None = None)
         parts, n = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            matched, stop, first, _ = settle(_join(parts), earlier, size)
+            matched, stop, first, lead = settle(_join(parts), earlier, size)
+            group = np.cumsum(lead) - 1
+            hot = (np.bincount(group) > HOT)[group] if len(group) else lead
+            first["many"][hot & lead] |= MARKED
+            rest = _take(first, hot & ~lead)
+            first = _take(first, ~hot | lead)
             yield from _dealt(first, first["name"], buckets, ITEMS)
-            if len(stop):
-                doc, key, start, stop = _spans(matched, stop)
-                zero = np.zeros(len(doc), np.int64)
-                spans = {"name": stop.astype(np.uint64), "print": zero, "doc": doc, "key": key, "start": start, "before": zero, "count": zero, "many": zero}
-                yield from _dealt(spans, doc.view(np.uint64), buckets, SPANS)
+            yield from _dealt(rest, rest["doc"].view(np.uint64), buckets, REQUESTS)
+            yield from _dealt_spans(matched, stop, buckets)
 
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -217,6 +235,8 @@ def find_spans(docs: DataFrame, make: type[Units], near: Callable | None = None)
                 items, _ = load(data)
                 if kind == SPANS:
                     out.append(_found(SPANS, items["doc"], items["key"], items["start"], items["name"].astype(np.int64)))
+                elif kind == REQUESTS:
+                    out.append(_asked(items, size, np.ones(len(items["name"]), bool)))
                 else:
                     parts.append(items)
             if parts:
@@ -227,15 +247,22 @@ def find_spans(docs: DataFrame, make: type[Units], near: Callable | None = None)
                     classes = np.bincount(group)
                     open_ = classes > 1
                     if not earlier:
-                        open_ &= np.bincount(group, first["many"] == 0) > 0
-                    some = open_[group]
-                    req = _take(first, some)
-                    out.append(_found(ITEMS, req["doc"], req["key"], req["start"], req["start"] + req["count"].astype(np.int64) - 1 + size, req["name"], req["before"], req["many"], (classes > WIDE)[group][some] | (near is None)))
+                        open_ &= np.bincount(group, first["many"] & MATCHED == 0) > 0
+                    marked = np.bincount(group, first["many"] & MARKED) > 0
+                    some = (open_ | marked)[group]
+                    out.append(_asked(_take(first, some), size, ((classes > WIDE) | marked)[group][some] | (near is None)))
             return pa.Table.from_batches(out) if out else pa.Table.from_batches([_found(SPANS, *[np.zeros(0, np.int64)] * 4)])
 
         return run
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            matched, stop, first, _ = settle(_join(parts), earlier, size)
+            yield from _dealt(first, first["print"], buckets, ITEMS)
+            yield from _dealt_spans(matched, stop, buckets)
+
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             texts = batch.column(2).cast(pa.binary()).to_pylist()
@@ -248,27 +275,27 @@ def find_spans(docs: DataFrame, make: type[Units], near: Callable | None = None)
                 part = {c: v[low:high] for c, v in fields.items()}
                 own = np.repeat(np.arange(a, b), np.diff(offsets[a : b + 1]))
                 base = units.bounds[own - a]
-                yield from windows(units, part, ids[own], keys[own], base)
                 if near is not None:
                     yield from contexts(units, part, ids[own], keys[own], base)
+                parts.append(windows(units, part, ids[own], keys[own], base))
+                n += len(parts[-1]["name"])
+                if n >= FLUSH:
+                    yield from flush()
+                    parts, n = [], 0
+        if n:
+            yield from flush()
 
-    def windows(units: Units, part: dict, ids, keys, base) -> Iterator[pa.RecordBatch]:
+    def windows(units: Units, part: dict, ids, keys, base) -> dict[str, np.ndarray]:
         at = np.flatnonzero(part["wide"])
         if not len(at):
-            return
+            return _join([])
         count = part["stop"][at] - part["start"][at] - size + 1
         of = np.repeat(at, count)
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = part["start"][of] + step
         print_ = Prints(units.values).of(base[of] + start, base[of] + start + size)
         one = np.ones(len(of), np.int64)
-        items = {"name": mix(part["name"][of].view(np.uint64) + (part["before"][of] - step).astype(np.uint64)), "print": print_, "doc": ids[of], "key": keys[of], "start": start, "before": one * 0, "count": one, "many": one * 0}
-        matched, stop, first, _ = settle(items, earlier, size)
-        yield from _dealt(first, first["print"], buckets, ITEMS)
-        if len(stop):
-            doc, key, begin, stop = _spans(matched, stop)
-            zero = np.zeros(len(doc), np.int64)
-            yield from _dealt({"name": stop.astype(np.uint64), "print": zero, "doc": doc, "key": key, "start": begin, "before": zero, "count": zero, "many": zero}, doc.view(np.uint64), buckets, SPANS)
+        return {"name": mix(part["name"][of].view(np.uint64) + (part["before"][of] - step).astype(np.uint64)), "print": print_, "doc": ids[of], "key": keys[of], "start": start, "before": (one * 0).astype("<u2"), "count": one.astype("<u2"), "many": (one * 0).astype("u1")}
 
     def contexts(units: Units, part: dict, ids, keys, base) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(~part["wide"])

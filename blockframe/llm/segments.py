@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from blockframe.llm.poly import Prints
+from blockframe.llm.poly import Rolling
 
 #: Bytes of text handled at once (a longer single text counts as one).
 CHUNK_BYTES = 1 << 20
@@ -57,12 +57,11 @@ class SegmentEncoder:
         begins[ends[:-1][ends[:-1] < len(flat)]] = True
         starts = np.flatnonzero(begins)
         stops = np.append(starts[1:], len(flat))
-        key = Prints(flat).of(starts, stops)
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        check = Prints(flat, 1).of(starts, stops)
-        if (check != check[first][which]).any():  # two segments of one fingerprint
-            _, first, which = np.unique(np.stack([key, check], 1), axis=0, return_index=True, return_inverse=True)
-            which = which.reshape(-1)
+        _, first, which = np.unique(Rolling(flat).of(starts, stops), return_index=True, return_inverse=True)
+        if not _same(flat, starts, stops, first[which]):  # two segments of one fingerprint
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(data[a:b], len(number)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+            first = np.unique(which, return_index=True)[1]
         segments = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
         if len(self.known) > self.most or self.used > CACHE_TOKENS:
             self.forget()
@@ -77,6 +76,14 @@ class SegmentEncoder:
         return ids, np.concatenate([[0], after])[borders]
 
 
+def _same(flat: np.ndarray, starts: np.ndarray, stops: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each segment holds the same bytes as segment like of it."""
+    size = stops - starts
+    if (size != size[like]).any():
+        return False
+    return bool((flat[np.arange(len(flat)) + np.repeat(starts[like] - starts, size)] == flat).all())
+
+
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about `most` bytes."""
     at = size = 0

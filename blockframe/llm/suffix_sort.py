@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockframe.llm.common import table
-from blockframe.llm.poly import Prints, U, mix
+from blockframe.llm.poly import Rolling, U, mix
 from blockframe.llm.repeats import Units, find_spans, keyed, removed
 
 #: Bytes of a string that counts as repeated.
@@ -138,15 +138,8 @@ def match_group(texts: list[bytes], before: np.ndarray, count: np.ndarray, size:
     return out
 
 
-def _pair(a: bytes, b: bytes, x: int, y: int, m: int, n: int, size: int) -> tuple[int, int]:
-    """Distances [d, e] at which the windows of two texts are equal (anchors at x and y, m and n windows); none if d > e."""
-    left = common_prefix(a[:x][::-1], b[:y][::-1])
-    right = common_prefix(a[x:], b[y:])
-    return max(size - right, x - m + 1, y - n + 1), min(left, x, y)
-
-
 def near(items: dict[str, np.ndarray], data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matched spans of unsettled items: number of the item, start, stop in units of its document."""
+    """Matched spans of unsettled items: number of the item, start, stop in units of its document. Each name's suffixes, and reversed prefixes, are ordered by the deep-shallow sort."""
     length = items["count"].astype(np.int64) - 1 + size
     ends = np.cumsum(length)
     order = np.lexsort((items["start"], items["key"], items["doc"], items["name"]))
@@ -158,13 +151,7 @@ def near(items: dict[str, np.ndarray], data: bytes, size: int) -> tuple[np.ndarr
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         group = order[a:b]
         texts = [data[e - n : e] for e, n in zip(ends[group].tolist(), length[group].tolist(), strict=True)]
-        if len(group) == 2:
-            x, y = before[group].tolist()
-            m, n = count[group].tolist()
-            d, e = _pair(texts[0], texts[1], x, y, m, n, size)
-            ranges = [[(x - e, x - d + 1)], [(y - e, y - d + 1)]] if d <= e else [[], []]
-        else:
-            ranges = match_group(texts, before[group], count[group], size)
+        ranges = match_group(texts, before[group], count[group], size)
         for i, own in zip(group.tolist(), ranges, strict=True):
             if not done[i]:
                 for j, k in own:
@@ -191,7 +178,7 @@ class Bytes(Units):
     def anchors(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the least GRAM-byte print in each window, the first of equals: van Herk's running minimum over blocks."""
         n = len(self.values) - GRAM + 1
-        prints, reach = Prints(self.values), self.size - GRAM + 1
+        prints, reach = Rolling(self.values), self.size - GRAM + 1
         place = U(n.bit_length())
         at = np.arange(n)
         names = mix(prints.raw(at, at + GRAM))

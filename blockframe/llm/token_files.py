@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockframe.llm.common import handing_back, shared_folder, shuffle_partitions, table
+from blockframe.llm.common import handing_back, parts_for, shared_folder, shuffle_partitions, table
 from blockframe.llm.segments import SegmentEncoder, chunks
 
 #: Ids of a block, whose planes are compressed one by one.
 BLOCK_IDS = 1 << 16
 #: Ids of a chunk, about: one row of the file, decoded at once.
 CHUNK_IDS = 1 << 20
+#: Bytes of the input for each shard; there are as many shards as this or the shuffle partitions ask for.
+SHARD_BYTES = 64 << 20
 #: Distinct segments that a worker remembers.
 REMEMBERED = 200_000
 LEVEL = 1
@@ -118,8 +120,15 @@ def encoder(path: str) -> SegmentEncoder:
     return SegmentEncoder(encode, _borders, tuple(t.content.encode() for t in own.get_added_tokens_decoder().values()), most=REMEMBERED)
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """id, n, ids (little-endian unsigned 32-bit, or 16-bit where all fit: n tells) for each row; null texts count as empty. Every document ends in end_id."""
+def shard_cuts(docs: DataFrame, id_col: str = "doc_id", shards: int | None = None) -> list[int]:
+    """Ids that end a shard each, ascending: quantiles, so that shards hold about as many rows each. One number a shard comes to the driver."""
+    shards = shards or parts_for(docs, SHARD_BYTES, shuffle_partitions(docs.sparkSession))
+    return sorted({int(x) for x in docs.approxQuantile(id_col, [i / shards for i in range(1, shards)], 0.2 / shards)}) if shards > 1 else []
+
+
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, cuts: list[int] | None = None) -> DataFrame:
+    """id, n, ids (little-endian unsigned 32-bit, or 16-bit where all fit: n tells), shard (the number of cuts below the id; 0 for null ids) for each row; null texts count as empty. Every document ends in end_id. Other columns are ignored."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.array(cuts or [], np.int64))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,23 +140,19 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
                 data, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
                 blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((at * width).astype(np.int32).tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), blobs], ["id", "n", "ids"])
+                own = batch.column(0).slice(a, b - a)
+                shard = np.searchsorted(sent.value, own.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(at)), blobs, pa.array(shard.astype(np.int32))], ["id", "n", "ids", "shard"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(handing_back(encode), "id long, n long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(handing_back(encode), "id long, n long, ids binary, shard int")
 
 
-def write_ids(encoded: DataFrame, out: str, *, bits: bool = False, shards: int | None = None) -> None:
+def write_ids(encoded: DataFrame, out: str, cuts: list[int], *, bits: bool = False) -> None:
     """Writes id files below out, a Parquet table of chunks: shard, chunk, n_ids, doc_ids and sizes (one entry a document), data (see pack).
 
-    Shards hold consecutive ranges of ids, cut at quantiles; in a shard rows ascend by id (null ids first, rows of equal id by their tokens).
+    encoded: see encode_texts(), made with the same cuts. Shards hold consecutive ranges of ids and are a task each; in a shard rows ascend by id (null ids first, rows of equal id by their tokens).
     """
-    spark = encoded.sparkSession
-    shards = shards or shuffle_partitions(spark)
-    cuts = sorted({int(x) for x in encoded.select("id").approxQuantile("id", [i / shards for i in range(1, shards)], 0.2 / shards)}) if shards > 1 else []
-    _write(encoded, out, bits, cuts)
-
 
-def _write(encoded: DataFrame, out: str, bits: bool, cuts: list[int]) -> None:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunk, ids, sizes, parts, total = None, 0, [], [], [], 0
 
@@ -172,11 +177,7 @@ def _write(encoded: DataFrame, out: str, bits: bool, cuts: list[int]) -> None:
         if ids:
             yield flush()
 
-    where = F.lit(0)
-    if cuts:
-        where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("id")))
-        where = F.coalesce(where, F.lit(0))
-    dealt = encoded.select(F.greatest(where, F.lit(0)).alias("shard"), "id", "n", "ids").repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "id", "ids")
+    dealt = encoded.select("shard", "id", "n", "ids").repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("id", "ids")
     dealt.mapInArrow(handing_back(build), "shard int, chunk int, n_ids long, doc_ids array<bigint>, sizes array<bigint>, data binary").write.parquet(out)
 
 
@@ -209,9 +210,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     out = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ids-{uuid.uuid4().hex}"
-    shards = shuffle_partitions(spark)
-    cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards)}) if shards > 1 else []
-    _write(encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json")), out, False, cuts)
+    cuts = shard_cuts(docs)
+    write_ids(encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), cuts=cuts), out, cuts)
     return read_ids(spark, out)
 
 

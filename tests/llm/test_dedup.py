@@ -77,6 +77,16 @@ def test_repeated_bytes_window_by_window(docs, corpus, monkeypatch):
     assert got == bytes_brute(corpus)
 
 
+@pytest.mark.parametrize("hot", (0, 1, 3))
+def test_hot_names(docs, corpus, hot, monkeypatch):
+    """Names with many different items in a task are compared window by window, everywhere."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    got = {r.id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.repeated_words(docs).collect()}
+    assert got == words_brute(corpus)
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_sort.repeated_bytes(docs).collect()}
+    assert got == bytes_brute(corpus)
+
+
 def test_many_flushes(docs, corpus, monkeypatch):
     monkeypatch.setattr(repeats, "FLUSH", 10)
     monkeypatch.setattr("blockframe.llm.segments.CHUNK_BYTES", 1)

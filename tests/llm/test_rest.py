@@ -140,7 +140,7 @@ def test_oracle(spark, name):
 @needs_tables
 def test_pipeline(spark):
     """run() against its stages done plainly, from the same language model, mix and tokenizer."""
-    from test_dedup import links_brute
+    from test_near_copies import brute
 
     from blockframe.llm import langid, pieces
 
@@ -151,7 +151,7 @@ def test_pipeline(spark):
         key = "".join(c.lower() if "A" <= c <= "Z" else c for c in d["text"])
         last[key] = max(last.get(key, -1), d["doc_id"])
     docs = [d for d in docs if d["doc_id"] in set(last.values())]
-    links = links_brute([(d["doc_id"], d["text"]) for d in docs])
+    links = brute([(d["doc_id"], d["text"]) for d in docs], 5, 80)
     docs = [d for d in docs if links[d["doc_id"]][1] == d["doc_id"]]
     plan = {r.id: r for r in mixing.mix(spark.createDataFrame(docs, spark.read.parquet(f"{SF}/documents.parquet").schema)).collect()}
     own = pieces.vocabulary(pieces.model_path())

@@ -44,6 +44,74 @@ def test_best_path(vocabulary, corpus):
         assert np.isclose(score(vocabulary, ids), brute(vocabulary, " " + text), rtol=1e-12)
 
 
+def _varint(n):
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _message(*fields):
+    """Protocol buffer fields (number, value): integers, floats, bytes."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += _varint(number << 3) + _varint(value)
+        elif isinstance(value, float):
+            out += _varint(number << 3 | 5) + np.float32(value).tobytes()
+        else:
+            out += _varint(number << 3 | 2) + _varint(len(value)) + value
+    return out
+
+
+@pytest.fixture(scope="module")
+def unigram_file(vocabulary, tmp_path_factory):
+    """The same pieces and log scores as a Unigram model file."""
+    own = [(1, _message((1, p), (2, float(s)), (3, int(k)))) for p, s, k in zip(vocabulary.pieces, vocabulary.scores, vocabulary.kinds, strict=True)]
+    spec = [(2, _message((3, pieces.UNIGRAM), (35, 1))), (3, _message((1, b"identity"), (3, int(vocabulary.dummy_prefix)), (4, 0), (5, 1)))]
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(_message(*own, *spec))
+    return str(path)
+
+
+def test_scores_are_logarithms(vocabulary):
+    shares = np.exp(vocabulary.scores[vocabulary.kinds == pieces.NORMAL])
+    assert abs(shares.sum() - 1) < 1e-3 and shares.max() < 0.2
+
+
+def test_other_models_are_refused():
+    with pytest.raises(ValueError):
+        pieces.Vocabulary.load(pieces.model_path())
+
+
+def test_the_library_finds_the_same_pieces(vocabulary, unigram_file, corpus):
+    """sentencepiece, with the same file: equal ids, or for ties in its single precision an equal score."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=unigram_file)
+    own = pieces.Vocabulary.load(unigram_file).check()
+    assert (own.scores == vocabulary.scores).all()
+    texts = [t for t in ODD if "\u2581" not in t] + [t for _, t in corpus if t] + ["Plain prose, with marks; and Numbers 1234.", "unbelievableness  twice", "Über die Brücke, señor; où êtes-vous?"]
+    same = 0
+    for t in texts:
+        got, want = own.encode([t.encode()])[0].tolist(), library.encode(t)
+        assert own.decode(np.array(got, np.int64), np.array([0, len(got)]))[0].decode() == t == library.decode(got)
+        same += got == want
+        if got != want:
+            assert abs(score(own, np.array(got)) - score(own, np.array(want))) < 1e-4 * len(want)
+    assert same >= 0.95 * len(texts)
+
+
+def test_encode_pieces_odd_tables(spark):
+    path = pieces.model_path()
+    assert pieces.encode_pieces(spark.createDataFrame([], "text string, doc_id long"), path).count() == 0
+    long = "word " * 300_000 + "x" * 5000
+    rows = [(None, 1), ("", 2), ("a", 3), ("a", 3), (long, None)]
+    got = pieces.encode_pieces(spark.createDataFrame(rows, "text string, doc_id long"), path).collect()
+    assert sorted((r.doc_id or 0, None if r.ids is None else len(r.ids) > 0, r.round_trip) for r in got) == [(0, True, True), (1, None, None), (2, False, True), (3, True, True), (3, True, True)]
+
+
 def test_long_segments_equal_short_ones(vocabulary, monkeypatch):
     texts = [t.encode() for t in ODD if "\u2581" not in t]
     want = [vocabulary.encode_segments([t])[0] for t in texts if t]
@@ -128,7 +196,9 @@ def _library(path, kind):
 def test_files(spark, docs, corpus, tmp_path, bits, monkeypatch):
     monkeypatch.setattr(token_files, "CHUNK_IDS", 500)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    token_files.write_ids(token_files.encode_texts(docs, path), str(tmp_path / "ids"), bits=bits, shards=3)
+    cuts = token_files.shard_cuts(docs, shards=3)
+    token_files.write_ids(token_files.encode_texts(docs.withColumn("shard", docs.id), path, cuts=cuts), str(tmp_path / "ids"), cuts, bits=bits)
+    assert len(cuts) == 2 and spark.read.parquet(str(tmp_path / "ids")).select("shard").distinct().count() == 3
     got = {r.doc_id: r for r in token_files.read_ids(spark, str(tmp_path / "ids")).collect()}
     start = 0
     for i, t in sorted(corpus):
@@ -139,9 +209,9 @@ def test_files(spark, docs, corpus, tmp_path, bits, monkeypatch):
 
 def test_files_of_nothing_and_null_ids(spark, tmp_path):
     path, schema = public_tokenizers.path("byte_bpe_50k.json"), "doc_id long, text string"
-    token_files.write_ids(token_files.encode_texts(spark.createDataFrame([], schema), path), str(tmp_path / "a"))
+    token_files.write_ids(token_files.encode_texts(spark.createDataFrame([], schema), path), str(tmp_path / "a"), [])
     assert token_files.read_ids(spark, str(tmp_path / "a")).count() == 0
-    token_files.write_ids(token_files.encode_texts(spark.createDataFrame([(7, "x"), (None, "abc"), (7, "x")], schema), path), str(tmp_path / "b"), shards=1)
+    token_files.write_ids(token_files.encode_texts(spark.createDataFrame([(7, "x"), (None, "abc"), (7, "x")], schema), path), str(tmp_path / "b"), [])
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_ids(spark, str(tmp_path / "b")).collect())
     assert [g[1] for g in got] == [None, 7, 7] and got[1][0] == got[0][2]
 
@@ -191,3 +261,23 @@ def test_masks_have_no_false_negatives():
         cells[0, slots] |= np.uint32(2)
     model = langid.Model(["a", "b"], cells, np.zeros(2))
     assert (langid.masks(model, grams) == 2).all()
+
+
+def test_language_id_against_plain_sets(spark):
+    """The filters' answer is that of sets of n-grams, but for their false positives."""
+    rows = [(i, _prose(lang, 25, i), lang) for i, lang in enumerate(list(SYLLABLES) * 30)] + [(500, "a", "yy"), (501, "", "xx"), (502, "kaka", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: {} for lang in SYLLABLES}
+    for _, t, lang in rows:
+        if lang:
+            for g in langid._grams([t])[0].tolist():
+                counts[lang][g] = counts[lang].get(g, 0) + 1
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    own = {lang: {g for g, x in c.items() if x >= langid.PART * max(o.get(g, 0) for o in share.values())} for lang, c in share.items()}
+    texts = [_prose(lang, k, 77 + k) for lang in SYLLABLES for k in range(1, 40)] + ["ka", "z", "kalo schu", "1 a"]
+    langs, scores = langid.classify(model, texts)
+    for t, lang, got in zip(texts, langs, scores, strict=True):
+        grams = langid._grams([t])[0].tolist()
+        want = {k: sum(g in own[k] for g in grams) / len(grams) for k in sorted(own)}
+        top = max(want.values())
+        assert want[lang] >= top - 0.1 and abs(got - top) < 0.12, t
