@@ -9,7 +9,7 @@ from operator import add
 import numpy as np
 
 from blockframe.functions import matches, wire
-from blockframe.functions.huffman import Tree, code_lengths, pack_lengths, unpack_lengths
+from blockframe.functions.huffman import Tree, code_lengths, nudged, pack_lengths, unpack_lengths
 from blockframe.functions.wire import ArchiveError
 
 MIN_MATCH, MAX_DISTANCE = matches.MIN_MATCH, matches.MAX_DISTANCE
@@ -64,6 +64,11 @@ class Dictionary:
         return out
 
 
+def dictionary_id(data: bytes) -> int:
+    """The id that a saved dictionary states, 0 if data are none; nothing but the magic number is checked."""
+    return struct.unpack_from("<I", data, 8)[0] if len(data) >= 16 and data[:4] == struct.pack("<I", wire.DICT_MAGIC) else 0
+
+
 NO_DICT = Dictionary()
 
 
@@ -195,16 +200,16 @@ def encode_literals(data: bytes, level: int, table: bytes | None) -> tuple[int,
         raw = np.frombuffer(data, np.uint8)
         counts = np.bincount(raw, minlength=256)
         if n >= HUFFMAN_LEAST:
-            lengths = code_lengths(counts, 8 if level == 6 else 11)
-            packed = pack_lengths(lengths) + Tree(lengths).encode(raw)
-            options.append((_cost(wire.LIT_HUFFMAN, len(packed), n, level), wire.LIT_HUFFMAN, packed))
+            lengths = nudged(counts, 8 if level == 6 else 11)
+            tree = Tree(lengths)
+            options.append((_cost(wire.LIT_HUFFMAN, 128 + tree.size(counts), n, level), wire.LIT_HUFFMAN, lambda: pack_lengths(lengths) + tree.encode(raw)))
         if table is not None and any(table):
-            lengths = unpack_lengths(table)
-            if (lengths[counts > 0] > 0).all():
-                packed = Tree(lengths).encode(raw)
-                options.append((_cost(wire.LIT_SHARED, len(packed), n, level), wire.LIT_SHARED, packed))
+            shared = unpack_lengths(table)
+            if (shared[counts > 0] > 0).all():
+                known = Tree(shared)
+                options.append((_cost(wire.LIT_SHARED, known.size(counts), n, level), wire.LIT_SHARED, lambda: known.encode(raw)))
     _, kind, section = min(options, key=lambda o: (o[0], o[1]))
-    return kind, section
+    return kind, section() if callable(section) else section
 
 
 def decode_literals(kind: int, data: bytes, n: int, table: bytes | None) -> bytes:
@@ -249,10 +254,11 @@ def encode_payloads(blocks: list[bytes], level: int, dictionary: Dictionary = NO
             raw = tokens_[a:b]
             tokens, tok = raw.tobytes(), 0
             if level == 7 and len(tokens) >= HUFFMAN_LEAST:
-                lengths = code_lengths(np.bincount(raw, minlength=256))
-                packed = pack_lengths(lengths) + Tree(lengths).encode(raw)
-                if _cost(wire.LIT_HUFFMAN, len(packed), len(tokens), level) < len(tokens):
-                    tokens, tok = packed, 2
+                counts = np.bincount(raw, minlength=256)
+                lengths = nudged(counts)
+                tree = Tree(lengths)
+                if _cost(wire.LIT_HUFFMAN, 128 + tree.size(counts), len(tokens), level) < len(tokens):
+                    tokens, tok = pack_lengths(lengths) + tree.encode(raw), 2
             narrow = bool(wide[b] == wide[a])
             head = struct.pack("<IIBBBB", b - a, len(text), lit, tok, 0, narrow)
             head += (struct.pack("<I", len(section)) if lit else b"") + (struct.pack("<I", len(tokens)) if tok else b"")
@@ -445,21 +451,37 @@ def check_dictionary(wanted: int | None, dictionary: Dictionary) -> None:
             raise ArchiveError("DICT_MISMATCH")
 
 
-def index(data: bytes) -> dict:
-    """Header fields and, of a seekable archive, the places of its blocks: comp_off, comp_size, decomp_off, decomp_size. Reads no payload."""
-    head = wire.parse_file_header(data)
-    if len(data) < 36:
+def content_size(data: bytes, strict: bool = True) -> int:
+    """Size of the content as the footer states it. strict: the whole header and the footer's plausibility are checked, else nothing but the magic number."""
+    if strict:
+        return index(data)["decompressed_size"]
+    if len(data) < 28:
         raise ArchiveError("SRC_TOO_SMALL")
-    size, total = struct.unpack("<QI", data[-12:])
-    if -(-size // head["block_size"]) > len(data) // 8:
-        raise ArchiveError("CORRUPT_DATA")
+    if not wire.is_archive(data):
+        raise ArchiveError("BAD_MAGIC")
+    return struct.unpack("<Q", data[-12:-4])[0]
+
+
+def index(data: bytes, strict: bool = True) -> dict:
+    """Header fields and, of a seekable archive, the places of its blocks: comp_off, comp_size, decomp_off, decomp_size. Reads no payload. strict: the blocks' sizes must add up to where the content ends."""
+    return directory(data[:16], data[16:], len(data), strict)
+
+
+def directory(header: bytes, tail: bytes, stored: int, strict: bool = True) -> dict:
+    """index() of an archive of `stored` bytes from its first 16 and its last ones: seek table and footer, or more."""
+    head = wire.parse_file_header(header)
+    if stored < 36:
+        raise ArchiveError("SRC_TOO_SMALL")
+    size, total = struct.unpack("<QI", tail[-12:])
     n = -(-size // head["block_size"])
+    if n > stored // 8:
+        raise ArchiveError("CORRUPT_DATA")
     head |= {"decompressed_size": size, "global_hash": total, "n_blocks": n, "seekable": False, "blocks": []}
-    at = len(data) - 12 - 8 - 4 * n
-    if at >= 24 and data[at] == wire.SEK and wire.hash8(data[at : at + 7] + b"\0") == data[at + 7] and struct.unpack_from("<I", data, at + 3)[0] == 4 * n:
-        sizes = np.frombuffer(data, "<u4", n, at + 8).astype(np.int64)
+    at, table = stored - 20 - 4 * n, tail[-20 - 4 * n : -12]
+    if at >= 24 and len(table) == 8 + 4 * n and table[0] == wire.SEK and wire.hash8(table[:7] + b"\0") == table[7] and struct.unpack_from("<I", table, 3)[0] == 4 * n:
+        sizes = np.frombuffer(table, "<u4", n, 8).astype(np.int64)
         offsets = 16 + np.concatenate([[0], np.cumsum(sizes)])
-        if (sizes < 8).any() or offsets[-1] != at - 8:
+        if strict and ((sizes < 8).any() or offsets[-1] != at - 8):
             raise ArchiveError("CORRUPT_DATA")
         bs = head["block_size"]
         head["seekable"] = True
@@ -482,16 +504,14 @@ def read_range(data: bytes, offset: int, length: int, dictionary: Dictionary = N
     return got[skip : skip + length]
 
 
-def train_table(samples: list[bytes], content: bytes) -> bytes:
-    """Packed code lengths for the literals that matching against content leaves in samples, cut to 4096 bytes each; all zeros if none are left."""
-    counts = np.zeros(256, np.int64)
-    for s in samples:
-        for i in range(0, len(s), 4096):
-            whole = content + s[i : i + 4096]
-            sequences, rest = parse(whole, len(content), 6)
-            at = len(content)
-            for literals, length, _ in sequences:
-                counts += np.bincount(np.frombuffer(whole, np.uint8, literals, at), minlength=256)
-                at += literals + length
-            counts += np.bincount(np.frombuffer(whole[rest:], np.uint8), minlength=256)
+def literal_counts(samples: list[bytes], content: bytes) -> np.ndarray:
+    """How often each byte value is a literal when samples are matched against content at level 6."""
+    if not samples:
+        return np.zeros(256, np.int64)
+    line = matches.Line(samples, content)
+    return np.bincount(np.frombuffer(b"".join(line.texts(find(line, 6))), np.uint8), minlength=256)
+
+
+def train_table(counts: np.ndarray) -> bytes:
+    """Packed code lengths for literals that come so often; all zeros if there are none."""
     return pack_lengths(code_lengths(counts, 8)) if counts.any() else bytes(128)

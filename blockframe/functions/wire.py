@@ -110,6 +110,11 @@ def file_header(block_size: int, *, checksums: bool = False, dict_id: int | None
     return head[:14] + struct.pack("<H", hash16(head))
 
 
+def is_archive(data: bytes | None) -> bool:
+    """Whether data begin with an archive's magic number."""
+    return data is not None and bytes(data[:4]) == struct.pack("<I", MAGIC)
+
+
 def parse_file_header(data: bytes) -> dict:
     if len(data) < 16:
         raise ArchiveError("SRC_TOO_SMALL")

@@ -104,7 +104,7 @@ z AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(2 * coded + plain + (plain + 127)
 
 @query(f"{RLE} SELECT * FROM z")
 def rle_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bytestats.rle_size(bytestats.runs(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return bytestats.rle_size(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"{RLE} SELECT doc_id, CASE WHEN rle + n * 8 // 256 < n THEN 'RLE' ELSE 'RAW' END AS fast, CASE WHEN rle + n // 256 < n THEN 'RLE' ELSE 'RAW' END AS dense FROM z")
@@ -319,7 +319,7 @@ def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns.join(last, "conv_id").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("chunk"), (F.col("turn") == F.col("end")).alias("last"))
     folder = f"{top}/stream-{uuid.uuid4().hex}"
     coded = push.run_once(spark, rows, lambda df: push.encode_stream(df, codec.Options(3, BLOCK)), f"{folder}/a")
-    back = push.run_once(spark, coded.select("stream_id", "seq", "chunk", F.lit(False).alias("last")), push.decode_stream, f"{folder}/b")
+    back = push.run_once(spark, coded.select("stream_id", "seq", "chunk", "last"), push.decode_stream, f"{folder}/b")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("chunk").alias("h")))), lambda x: x["h"]), "")
     return back.groupBy(F.col("stream_id").alias("conv_id")).agg(F.md5(F.unhex(whole)).alias("text_md5"))
 

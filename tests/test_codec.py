@@ -48,7 +48,7 @@ def test_ranges_read_only_what_they_need():
 
 @pytest.mark.parametrize("level", (3, 6, 7))
 def test_dictionaries(level):
-    own = codec.Dictionary(TEXT[:800], codec.train_table([TEXT[300:2000] + b"rest of it"], TEXT[:800]))
+    own = codec.Dictionary(TEXT[:800], codec.train_table(codec.literal_counts([TEXT[300:2000] + b"rest of it"], TEXT[:800])))
     assert codec.Dictionary.load(own.save()) == own
     data = TEXT[100:700] + b"something else"
     archive = codec.encode(data, codec.Options(level, 4096, dictionary=own))
