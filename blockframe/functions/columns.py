@@ -78,3 +78,19 @@ def in_place_margin(n: Column, block_size: int, checksums: bool) -> Column:
 
 def error_name(code: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in wire.ERRORS.items() for x in kv]), code)
+
+
+def is_archive(data: Column) -> Column:
+    """Whether a binary column begins with an archive's magic number."""
+    return F.coalesce(F.substring(data, 1, 4) == F.lit(wire.MAGIC.to_bytes(4, "little")), F.lit(False))
+
+
+def block_size_for(n: Column) -> Column:
+    """The smallest power of two, from the least block size on, that holds n bytes."""
+    return F.element_at(F.filter(F.array(*[F.lit(wire.MIN_BLOCK << i).cast("long") for i in range(40)]), lambda b: b >= n), 1)
+
+
+def footer_size(archive: Column) -> Column:
+    """The content's size that the footer of an archive states (as a signed integer)."""
+    at = F.octet_length(archive) - 12
+    return sum((F.shiftleft(F.conv(F.hex(F.substring(archive, at + 1 + i, F.lit(1))), 16, 10).cast("long"), 8 * i) for i in range(1, 8)), F.conv(F.hex(F.substring(archive, at + 1, F.lit(1))), 16, 10).cast("long"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from blockframe.functions import codec
 from blockframe.functions.wire import ERRORS, ArchiveError
@@ -50,10 +51,11 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, f: Callable[...,
                 yield pa.RecordBatch.from_pydict({columns[0]: part.column(0)} | {n: pa.array(list(v), _TYPES[t.split()[1]]) for n, v, t in zip(names, made, schema.split(", "), strict=True)})
                 at = end
 
-    return df.select(*columns).mapInArrow(run, f"{kinds}, {schema}")
+    return df.select(*columns).mapInArrow(run, f"{kinds}, {schema.replace('blocks blocks', f'blocks {_BLOCKS}')}")
 
 
-_TYPES = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+_TYPES = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "blocks": pa.list_(pa.struct([(c, pa.int64()) for c in ("at", "size", "skip", "upto", "most")]))}
+_BLOCKS = "array<struct<at:bigint,size:bigint,skip:bigint,upto:bigint,most:bigint>>"
 
 
 def to_bytes(value: str | bytes | None) -> bytes | None:
@@ -109,5 +111,55 @@ def read_ranges(df: DataFrame, key: str, archive: str = "archive", offset: str =
     return map_rows(df, [key, archive, offset, length], "data binary, error string", one)
 
 
+def read_ranges_by_block(df: DataFrame, key: str, archive: str = "archive", offset: str = "offset", length: str = "len", dictionary: codec.Dictionary = codec.NO_DICT) -> DataFrame:
+    """As read_ranges, with a task's work a block and not an archive: the directory gives the blocks that a range touches, only their bytes go on, are dealt anew, decoded and put together in
+    order. Keys are one row each. An empty range has empty data; of several errors the one of the first block is told."""
+
+    def plan(_, a: bytes, o: int, n: int) -> tuple[list | None, str]:
+        try:
+            if not n:
+                return [], "OK"
+            head = codec.index(bytes(a))
+            if o + n > head["decompressed_size"] or not head["seekable"]:
+                raise ArchiveError("SRC_TOO_SMALL")
+            codec.check_dictionary(head["dict_id"], dictionary)
+            size = head["block_size"]
+            touched = head["blocks"][o // size : (o + n - 1) // size + 1]
+            return [{"at": at, "size": stored, "skip": max(0, o - begin), "upto": min(own, o + n - begin), "most": size} for at, stored, begin, own in touched], "OK"
+        except ArchiveError as e:
+            return None, e.name
+
+    def one(_, data: bytes | None, skip: int, upto: int, most: int) -> tuple[bytes | None, str]:
+        if data is None:
+            return b"", "OK"
+        try:
+            return codec.decode_block(bytes(data), most, dictionary=dictionary)[skip:upto], "OK"
+        except ArchiveError as e:
+            return None, e.name
+
+    planned = map_rows(df, [key, archive, offset, length], "blocks blocks, error string", plan)
+    joined = df.select(key, archive).join(planned, key).select(key, archive, "error", F.posexplode_outer("blocks").alias("i", "b"))
+    cut = joined.select(key, "error", "i", F.substring(F.col(archive), F.col("b.at").cast("int") + 1, F.col("b.size").cast("int")).alias("data"), "b.skip", "b.upto", "b.most")
+    good = cut.where("error = 'OK'").withColumn("row", F.struct(key, "i"))
+    made = map_rows(spread(good), ["row", "data", "skip", "upto", "most"], "part binary, failed string", one)
+    parts = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("row.i"), F.lit(0)).alias("i"), F.hex("part").alias("h"), "failed")))
+    whole = made.groupBy(F.col(f"row.{key}").alias(key)).agg(parts.alias("parts")).select(key, "parts", F.filter("parts", lambda p: p["failed"] != "OK").alias("bad"))
+    read = whole.select(key, F.when(F.size("bad") == 0, F.unhex(F.array_join(F.transform("parts", lambda p: p["h"]), ""))).alias("data"), F.when(F.size("bad") > 0, F.element_at("bad", 1)["failed"]).otherwise("OK").alias("error"))
+    return read.unionByName(planned.where("error <> 'OK'").select(key, F.lit(None).cast("binary").alias("data"), "error"))
+
+
+def dictionaries(df: DataFrame, key: str, saved: str) -> DataFrame:
+    """key, dict_id, content_size, file_size, error of saved dictionaries; what can't be loaded has only its size and error."""
+
+    def one(_, data: bytes) -> tuple:
+        try:
+            own = codec.Dictionary.load(bytes(data))
+            return own.id, len(own.content), len(data), "OK"
+        except ArchiveError as e:
+            return None, None, len(data), e.name
+
+    return map_rows(df, [key, saved], "dict_id long, content_size long, file_size long, error string", one)
+
+
 def error_code(name: str) -> int:
     return _CODE[name]

@@ -32,3 +32,12 @@ def unxor(df: DataFrame, c: str, over: WindowSpec, name: str) -> DataFrame:
 def byte_plane(c: Column, plane: int) -> Column:
     """Byte `plane` (0 lowest) of an integer."""
     return F.shiftrightunsigned(c.cast("long"), 8 * plane).bitwiseAND(F.lit(255)).cast("int")
+
+
+def from_planes(planes: list[Column], kind: str = "int") -> Column:
+    """The integer that byte planes (lowest first) were taken from: the inverse of byte_plane over all of the type's bytes."""
+    out = F.lit(0).cast("long")
+    for i, p in enumerate(planes):
+        out = out.bitwiseOR(F.shiftleft(p.cast("long"), 8 * i))
+    bits = 8 * len(planes)
+    return (out if bits == 64 else F.when(out >= F.lit(1 << bits - 1), out - F.lit(1 << bits)).otherwise(out)).cast(kind)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable
 
@@ -179,10 +180,19 @@ def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select("doc_id", F.octet_length("data").cast("long").alias("n")).select("doc_id", "n", C.compress_bound(n).alias("archive_bound"), C.block_bound(n).alias("block_bound"), C.decompress_block_bound(n).alias("decompress_bound"), C.in_place_margin(n, 1 << 16, True).alias("in_place"))
 
 
-@query("SELECT count(*) AS n FROM documents WHERE (n_chars + 4095) // 4096 <= octet_length(encode(text)) // 2000 // 8")
+@query("SELECT 'true' AS footer, count(*) AS n, count(*) AS plausible FROM documents UNION ALL SELECT 'forged', count(*), 0 FROM documents")
 def footer_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("n_chars").alias("size"), F.lit(4096).alias("bs"), F.floor(F.octet_length("text") / 2000).alias("stored"))
-    return blocks.footer_plausible(rows, "size", "bs", "stored").agg(F.count("*").alias("n"))
+    """Footers of archives, and the same with a size that the stored bytes can't hold: judged by the columns alone and, of the forged ones, refused by the reader."""
+    made = archives.encode(table(spark, sf_dir, "documents"), "doc_id", "text", codec.Options(1, BLOCK))
+
+    def forge(_, archive: bytes) -> tuple[bytes]:
+        return (archive[:-7] + b"\x01" + archive[-6:],)
+
+    forged = archives.map_rows(made, ["doc_id", "archive"], "archive binary", forge)
+    both = made.select(F.lit("true").alias("footer"), "archive").unionByName(forged.select(F.lit("forged").alias("footer"), "archive"))
+    seen = both.select("footer", F.octet_length("archive").cast("long").alias("stored"), C.footer_size(F.col("archive")).alias("size"), F.lit(BLOCK).alias("bs"))
+    good = blocks.footer_plausible(seen, "size", "bs", "stored").groupBy("footer").agg(F.count("*").alias("plausible"))
+    return seen.groupBy("footer").agg(F.count("*").alias("n")).join(good, "footer", "left").select("footer", "n", F.coalesce("plausible", F.lit(0)).cast("long").alias("plausible"))
 
 
 @query("""WITH d AS (SELECT hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents), g AS (SELECT lower(substr(h, 2 * unnest(range(0, n - 4)) + 1, 10)) AS gram FROM d WHERE n >= 5)
@@ -202,6 +212,13 @@ def dict_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.repeated_segments(docs, "doc_id", "text").orderBy(F.desc("score"), "key", "pos").limit(50)
 
 
+@query(f"""WITH d AS (SELECT hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents), g AS (SELECT ('0x' || substr(h, 2 * unnest(range(0, n - 4)) + 1, 10))::BIGINT AS v FROM d WHERE n >= 5),
+w AS (SELECT ((v >> 32) & 255) | ((v >> 16) & 65280) | (v & 16711680) | ((v << 16) & 4278190080) AS le, v & 255 AS last FROM g)
+SELECT (((xor(le, last) * {training.FACTOR}::HUGEINT) % 4294967296) // 65536)::INTEGER AS h, least(count(*), {training.MOST})::BIGINT AS n FROM w GROUP BY ALL""")
+def gram_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.gram_table(table(spark, sf_dir, "documents"), "text")
+
+
 @query("SELECT event_id, epoch_us(ts) - coalesce(epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) AS delta FROM events")
 def delta_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = filters.line(["user_id"], ["ts", "event_id"])
@@ -244,6 +261,18 @@ def shuffle_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *[filters.byte_plane(F.col("p_size"), i).alias(f"b{i}") for i in range(4)])
 
 
+@query("SELECT p_partkey, p_size, l.o AS o_custkey FROM part LEFT JOIN (SELECT o_orderkey, o_custkey AS o FROM orders) l ON o_orderkey = p_partkey")
+def unshuffle_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers taken apart into byte planes and put together again: 32-bit ones, and 64-bit ones that may be null or negative."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_custkey")).cast("long").alias("o"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size").join(orders, F.col("o_orderkey") == F.col("p_partkey"), "left")
+    four = [filters.byte_plane(F.col("p_size"), i) for i in range(4)]
+    eight = [filters.byte_plane(F.col("o"), i) for i in range(8)]
+    back = rows.select("p_partkey", filters.from_planes(four, "int").alias("p_size"), (-filters.from_planes(eight, "long")).alias("o_custkey"))
+    kinds = dict(table(spark, sf_dir, "orders").dtypes) | dict(table(spark, sf_dir, "part").dtypes)
+    return back.select("p_partkey", F.col("p_size").cast(kinds["p_size"]), F.col("o_custkey").cast(kinds["o_custkey"]))
+
+
 def _roundtrip(level: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = archives.encode(table(spark, sf_dir, "documents"), "doc_id", "text", codec.Options(level, 1 << 16))
@@ -272,6 +301,92 @@ def seekable_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.read_ranges(made, "doc_id").select("doc_id", F.md5("data").alias("range_md5"), "error")
 
 
+@query("""WITH d AS (SELECT doc_id, encode(text) AS data, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, md5(data[n // 3 + 1 : n // 3 + n // 2]) AS range_md5, 'OK' AS error FROM d""")
+def seekable_range_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = archives.encode(docs, "doc_id", "text", codec.Options(3, BLOCK, seekable=True)).join(_ranges(spark, sf_dir), "doc_id")
+    return archives.read_ranges_by_block(made, "doc_id").select("doc_id", F.md5("data").alias("range_md5"), "error")
+
+
+@query("SELECT doc_id, true AS archive, false AS plain FROM documents")
+def sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = archives.encode(docs, "doc_id", "text", codec.Options(1, 1 << 16))
+    return made.join(_raw(spark, sf_dir), "doc_id").select("doc_id", C.is_archive(F.col("archive")).alias("archive"), C.is_archive(F.col("data")).alias("plain"))
+
+
+@query("SELECT doc_id, greatest(4096, CAST(pow(2, ceil(log2(greatest(1, octet_length(encode(text)))))) AS BIGINT)) AS block_size FROM documents")
+def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir).select("doc_id", C.block_size_for(F.octet_length("data")).alias("block_size"))
+
+
+@query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)
+SELECT doc_id, CASE WHEN n BETWEEN 1 AND 65535 THEN n END AS content_size, CASE WHEN n BETWEEN 1 AND 65535 THEN n + 144 ELSE 0 END AS file_size, n BETWEEN 1 AND 65535 AS same_id, CASE WHEN n BETWEEN 1 AND 65535 THEN 'OK' ELSE 'SRC_TOO_SMALL' END AS error FROM d""")
+def dict_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text saved as a dictionary (nothing, where it is empty or too long) and listed; same_id: the id read without loading is that of the loaded dictionary."""
+
+    def save(_, text: str | None) -> tuple[bytes, int]:
+        raw = (text or "").encode()
+        saved = codec.Dictionary(raw, bytes(128)).save() if 0 < len(raw) <= training.MAX_CONTENT else b""
+        return saved, codec.dictionary_id(saved)
+
+    saved = archives.map_rows(archives.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id", "text"], "saved binary, stated long", save)
+    seen = archives.dictionaries(saved, "doc_id", "saved")
+    return seen.join(saved.select("doc_id", "stated"), "doc_id").select("doc_id", "content_size", "file_size", F.coalesce(F.col("dict_id") == F.col("stated"), F.lit(False)).alias("same_id"), "error")
+
+
+#: What becomes of a stream of archive chunks, and what its decoder must say at the end.
+STREAMS = {
+    "whole": ("", lambda a: a),
+    "cut": ("SRC_TOO_SMALL", lambda a: a[:-5]),
+    "header_only": ("SRC_TOO_SMALL", lambda a: a[:16]),
+    "nothing": ("SRC_TOO_SMALL", lambda a: b""),
+    "damaged": ("BAD_CHECKSUM", lambda a: a[:24] + bytes([a[24] ^ 1]) + a[25:]),
+    "more": ("UNUSED", lambda a: a + b"!"),
+}
+
+
+@query("WITH c(stream, error) AS (VALUES " + ", ".join(f"('{k}', '{v[0]}')" for k, v in STREAMS.items()) + ", ('after_end', 'NULL_INPUT')) SELECT stream, error, (SELECT count(*) FROM documents) AS n FROM c")
+def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's archive pushed in chunks through the decoder, whole and spoilt; and an encoder that is pushed to after its end."""
+    from blockframe.streaming import push
+
+    made = archives.encode(table(spark, sf_dir, "documents"), "doc_id", "text", codec.Options(3, 1 << 16))
+
+    def pushed(name: str, archive: bytes) -> tuple[str]:
+        if name == "after_end":
+            own = push.Encoder(codec.Options(3, 1 << 16))
+            own.push(archive[:100])
+            own.end()
+            try:
+                return ("" if own.push(b"more") else "",)
+            except wire.ArchiveError as e:
+                return (e.name,)
+        data, own = STREAMS[name][1](bytes(archive)), push.Decoder()
+        for i in range(0, len(data), 1000):
+            own.push(data[i : i + 1000])
+        own.end()
+        return (own.error or ("UNUSED" if own.unused else ""),)
+
+    names = F.explode(F.array(*[F.lit(k) for k in [*STREAMS, "after_end"]]))
+    return archives.map_rows(made.select("archive", names.alias("stream")), ["stream", "archive"], "error string", pushed).groupBy("stream", "error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id::VARCHAR AS name, md5(text) AS text_md5, (octet_length(encode(text)) + 4095) // 4096 AS n_blocks FROM documents")
+def source_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written to files by the data source, below the checkpoint folder, and read back whole and as an index."""
+    from blockframe.sources.archive import SUFFIX, ArchiveSource
+    from blockframe.streaming import push
+
+    spark.dataSource.register(ArchiveSource)
+    folder = f"{push.shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    rows = _raw(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "data")
+    archives.spread(rows).write.format("blkarc").option("block_size", BLOCK).mode("append").save(folder)
+    name = F.regexp_extract("path", rf"([^/]+){re.escape(SUFFIX)}$", 1).alias("name")
+    read = lambda mode: spark.read.format("blkarc").option("mode", mode).load(folder)
+    return read("bytes").select(name, F.md5("data").alias("text_md5")).join(read("index").select(name, "n_blocks"), "name")
+
+
 #: What is done to an archive, and the error that must follow.
 DAMAGE = {
     "magic": ("BAD_MAGIC", lambda a: b"\xff" + a[1:]),
@@ -297,15 +412,22 @@ def verify_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.decode(archives.map_rows(bad, ["damage", "archive"], "broken binary", hurt), "damage", "broken").groupBy("damage", "error").agg(F.count("*").alias("n"))
 
 
-@query()
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.listing(archives.encode(table(spark, sf_dir, "documents"), "doc_id", "text", codec.Options(3, BLOCK, seekable=True)), "doc_id")
+
+
+@query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents) SELECT doc_id, n AS decompressed_size, (n + 4095) // 4096 AS n_blocks, true AS size_in_bounds, true AS ratio_fits, false AS has_dict, 'OK' AS error FROM d""")
 def archive_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = archives.encode(table(spark, sf_dir, "documents"), "doc_id", "text", codec.Options(3, BLOCK, seekable=True))
-    return archives.listing(made, "doc_id").withColumn("ratio", F.round(F.col("decompressed_size") / F.col("file_size"), 4))
+    """Listing with ratio (content to stored bytes). What SQL can't know, the stored size, is held against its least (header, tail, seek table, a header and checksum a block) and its bound."""
+    seen = _listed(spark, sf_dir).withColumn("ratio", F.round(F.col("decompressed_size") / F.col("file_size"), 4))
+    n, b, size = F.col("decompressed_size"), F.col("n_blocks"), F.col("file_size")
+    within = (size >= 16 + 8 + 8 + 12 + 16 * b) & (size <= C.compress_bound(n)) & (size <= 44 + 16 * b + n)
+    return seen.select("doc_id", "decompressed_size", "n_blocks", within.alias("size_in_bounds"), (F.abs(F.col("ratio") * size - n) <= 0.0001 * size).alias("ratio_fits"), F.col("dict_id").isNotNull().alias("has_dict"), "error")
 
 
 @query("SELECT doc_id, octet_length(encode(text)) AS decompressed_size, (octet_length(encode(text)) + 4095) // 4096 AS n_blocks, 8 AS format_version, 4096::BIGINT AS block_size, true AS has_checksum, true AS seekable, 'OK' AS error FROM documents")
 def archive_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_list(spark, sf_dir).select("doc_id", "decompressed_size", "n_blocks", "format_version", "block_size", "has_checksum", "seekable", "error")
+    return _listed(spark, sf_dir).select("doc_id", "decompressed_size", "n_blocks", "format_version", "block_size", "has_checksum", "seekable", "error")
 
 
 @query("SELECT conv_id::VARCHAR AS conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id")

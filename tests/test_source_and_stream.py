@@ -68,3 +68,78 @@ def test_empty_and_null_rows(spark):
     assert sorted((r.id, r.block, bytes(r.part)) for r in parts.collect()) == [(3, 0, b"ab"), (3, 1, b"c")]
     nothing = spark.createDataFrame([], "id int, text string")
     assert archives.decode(archives.encode(nothing, "id", "text", codec.Options()), "id").count() == 0
+
+
+def test_large_archives_are_split_over_tasks(spark, written, monkeypatch):
+    from blockframe.sources import archive
+
+    top, rows = written
+    monkeypatch.setattr(archive, "PARTITION_BYTES", 2000)
+    reader = archive.ArchiveReader({"path": top})
+    parts = reader.partitions()
+    biggest = max(rows, key=lambda k: len(rows[k]))
+    ranges = sorted(p.files[0][1:] for p in parts if p.files[0][0].endswith(f"{biggest}.blk"))
+    assert len(ranges) > 1 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    got: dict = {}
+    for p in parts:
+        for path, i, _, _, _, _, data in reader.read(p):
+            got.setdefault(os.path.basename(path)[:-4], {})[i] = bytes(data)
+    assert {k: b"".join(v[i] for i in sorted(v)) for k, v in got.items()} == {k: v for k, v in rows.items() if v}
+    reader.low, reader.high = 1, 2
+    assert {r[1] for p in reader.partitions() for r in reader.read(p)} == {1, 2}
+    bytes_ = archive.ArchiveReader({"path": f"file://{top}/f*.blk", "mode": "bytes"})
+    assert {os.path.basename(r[0])[:-4] for p in bytes_.partitions() for r in bytes_.read(p)} == {"f1", "f2", "f3"}
+
+
+def test_dictionaries_in_the_source(spark, tmp_path):
+    spark.dataSource.register(ArchiveSource)
+    own = codec.Dictionary((TEXT * 20).encode())
+    (tmp_path / "words.dict").write_bytes(own.save())
+    rows = [("a", TEXT.format(7).encode()), ("b", (TEXT.format(8) * 300).encode())]
+    spark.createDataFrame(rows, "name string, data binary").write.format("blkarc").option("dictionary", f"{tmp_path}/words.dict").option("level", "6").option("block_size", "4096").mode("append").save(f"{tmp_path}/out")
+    for mode in ("bytes", "blocks"):
+        read = spark.read.format("blkarc").option("mode", mode).option("dictionary", f"{tmp_path}/words.dict").load(f"{tmp_path}/out").collect()
+        assert sum(len(r.data) for r in read) == sum(len(d) for _, d in rows)
+        with pytest.raises(Exception, match="DICT_REQUIRED"):
+            spark.read.format("blkarc").option("mode", mode).load(f"{tmp_path}/out").collect()
+    ids = {r.dict_id for r in spark.read.format("blkarc").option("mode", "index").load(f"{tmp_path}/out").collect()}
+    assert ids == {codec.Dictionary.load(own.save()).id}
+
+
+def test_names_of_written_archives(spark, tmp_path):
+    spark.dataSource.register(ArchiveSource)
+
+    def write(names, mode="append", data=b"x" * 100):
+        spark.createDataFrame([(n, data) for n in names], "name string, data binary").write.format("blkarc").mode(mode).save(f"{tmp_path}/out")
+
+    def there():
+        return sorted(f for f in os.listdir(tmp_path / "out"))
+
+    write(["a", "b"])
+    for bad in (["../c"], ["x/y"], [".z"], [""], ["c", "c"], ["b"]):
+        with pytest.raises(Exception):  # noqa: B017
+            write(bad)
+        assert there() == ["a.blk", "b.blk"] and not (tmp_path / "c.blk").exists()
+    write(["d"], "overwrite", b"new")
+    assert there() == ["d.blk"]
+    got = spark.read.format("blkarc").option("mode", "bytes").load(f"{tmp_path}/out").collect()
+    assert [bytes(r.data) for r in got] == [b"new"]
+
+
+def test_streams_name_their_errors_and_leave_no_state(spark, tmp_path):
+    """Through Structured Streaming: a whole archive, one that is cut, one with bytes after it, rows after the end."""
+    made = codec.encode((TEXT * 200).encode(), codec.Options(3, 4096))
+    streams = {"whole": made, "cut": made[:-7], "more": made + b"zz", "bad": made[:100] + bytes([made[100] ^ 255]) + made[101:]}
+    rows = [(k, i, v[i * 1000 : i * 1000 + 1000], (i + 1) * 1000 >= len(v)) for k, v in streams.items() for i in range(-(-len(v) // 1000))]
+    rows.append(("whole", 10_000, b"late", False))
+    df = spark.createDataFrame(rows, push.IN)
+    out = push.run_once(spark, df, push.decode_stream, str(tmp_path / "s")).collect()
+    errors = {}
+    for r in sorted(out, key=lambda r: r.seq):
+        errors.setdefault(r.stream_id, []).append(r.error)
+    assert errors["whole"][:-1] == [""] * (len(errors["whole"]) - 1) and errors["whole"][-1] == "NULL_INPUT"
+    assert errors["cut"][-1] == "SRC_TOO_SMALL" and errors["more"][-1] == "CORRUPT_DATA" and errors["bad"][-1] in ("BAD_CHECKSUM", "BAD_HEADER")
+    whole = b"".join(bytes(r.chunk) for r in sorted(out, key=lambda r: r.seq) if r.stream_id == "whole")
+    assert whole == (TEXT * 200).encode()
+    coded = push.run_once(spark, spark.createDataFrame([("e", 0, TEXT.encode(), True), ("e", 1, b"late", False)], push.IN), lambda d: push.encode_stream(d, codec.Options(3, 4096)), str(tmp_path / "e")).collect()
+    assert {r.seq: r.error for r in coded} == {0: "", 1: "NULL_INPUT"}
