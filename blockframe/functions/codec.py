@@ -8,7 +8,7 @@ from operator import add
 
 import numpy as np
 
-from blockframe.functions import matches, wire
+from blockframe.functions import chains, matches, wire
 from blockframe.functions.huffman import Tree, code_lengths, nudged, pack_lengths, unpack_lengths
 from blockframe.functions.wire import ArchiveError
 
@@ -75,7 +75,10 @@ NO_DICT = Dictionary()
 # -- matches ----------------------------------------------------------------------------------------------------
 
 
-def find(line: matches.Line, level: int) -> matches.Found:
+def find(line: matches.Line, level: int, exact: bool = False) -> matches.Found:
+    """exact: by the published encoder's rules (levels 1 to 5), else faster ones."""
+    if exact:
+        return chains.exact(line, level)
     tries, lazy = EFFORT[level]
     return cheapest(line, level) if level >= 6 else line.greedy(tries, lazy)
 
@@ -231,10 +234,10 @@ def decode_literals(kind: int, data: bytes, n: int, table: bytes | None) -> byte
 # -- blocks -----------------------------------------------------------------------------------------------------
 
 
-def encode_payloads(blocks: list[bytes], level: int, dictionary: Dictionary = NO_DICT) -> list[tuple[int, bytes]]:
+def encode_payloads(blocks: list[bytes], level: int, dictionary: Dictionary = NO_DICT, exact: bool = False) -> list[tuple[int, bytes]]:
     """Block types and payloads: words of sequences at levels 1 and 2, separate streams above; raw bytes where that is not smaller."""
     line = matches.Line(blocks, dictionary.content)
-    found = find(line, level)
+    found = find(line, level, exact)
     texts, cap = line.texts(found), 255 if level <= 2 else 15
     more = matches.extras(found, cap)
     runs, sizes = np.minimum(found.literals, cap), np.minimum(found.length - MIN_MATCH, cap)
@@ -339,7 +342,7 @@ def decode_payload(kind: int, payload: bytes, most: int, dictionary: Dictionary
     return matches.resolve(np.frombuffer(literals, np.uint8), before, runs, lengths, distances).tobytes()
 
 
-def encode_blocks(blocks: list[bytes], level: int = 3, *, checksums: bool = False, dictionary: Dictionary = NO_DICT) -> list[bytes]:
+def encode_blocks(blocks: list[bytes], level: int = 3, *, checksums: bool = False, dictionary: Dictionary = NO_DICT, exact: bool = False) -> list[bytes]:
     """Blocks with their headers and, if asked for, their checksums."""
     level, out, at = 3 if level <= 0 else min(level, 7), [], 0
     while at < len(blocks):
@@ -347,7 +350,7 @@ def encode_blocks(blocks: list[bytes], level: int = 3, *, checksums: bool = Fals
         while end < len(blocks) and (end == at or size + len(blocks[end]) <= TOGETHER):
             size += len(blocks[end])
             end += 1
-        for kind, payload in encode_payloads(blocks[at:end], level, dictionary):
+        for kind, payload in encode_payloads(blocks[at:end], level, dictionary, exact):
             out.append(wire.block_header(kind, len(payload)) + payload + (struct.pack("<I", wire.checksum(payload)) if checksums else b""))
         at = end
     return out
@@ -379,6 +382,7 @@ class Options:
     checksums: bool = True
     seekable: bool = False
     dictionary: Dictionary = field(default=NO_DICT)
+    exact: bool = False
 
     def __post_init__(self):
         if not wire.MIN_BLOCK <= self.block_size <= wire.MAX_BLOCK or self.block_size & self.block_size - 1:
@@ -402,7 +406,7 @@ def encode_many(contents: list[bytes], options: Options = Options()) -> list[byt
     """An archive of each content; their blocks are encoded together."""
     size = options.block_size
     cut = [[data[i : i + size] for i in range(0, len(data), size)] for data in contents]
-    made = iter(encode_blocks([b for own in cut for b in own], options.level, checksums=options.checksums, dictionary=options.dictionary))
+    made = iter(encode_blocks([b for own in cut for b in own], options.level, checksums=options.checksums, dictionary=options.dictionary, exact=options.exact))
     return [assemble([next(made) for _ in own], len(data), options) for own, data in zip(cut, contents, strict=True)]
 
 
