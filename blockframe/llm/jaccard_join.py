@@ -391,11 +391,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def in_blocks(n: Column) -> Column:
         return F.ceil(n / BLOCK).cast("int")
 
-    zero, data = F.lit(0), rows.join(members, F.col("doc") == F.col("node")).select("doc", "text", "component", "n")
-    made = lambda some: some.mapInArrow(handing_back(sets), "doc long, component long, n long, data binary")
-    links = checked(made(data.where(F.col("n") <= BLOCK)).select("component", zero.alias("low"), zero.alias("high"), F.lit(None).cast("boolean").alias("side"), "doc", "data"))
+    zero, texts = F.lit(0), rows.join(members, F.col("doc") == F.col("node")).select("doc", "text", "component", "n")
+    made = checkpointed(texts.mapInArrow(handing_back(sets), "doc long, component long, n long, data binary"))
+    links = checked(made.where(F.col("n") <= BLOCK).select("component", zero.alias("low"), zero.alias("high"), F.lit(None).cast("boolean").alias("side"), "doc", "data"))
     if sizes.where(F.col("n") > BLOCK).limit(1).count():
-        large = checkpointed(made(data.where(F.col("n") > BLOCK)))
+        large = made.where(F.col("n") > BLOCK)
         blocks = in_blocks(F.col("n"))
         first = large.where("doc = component")  # a cell is named by its smallest document
         with_first = first.withColumn("low", F.explode(F.sequence(zero, blocks - 1))).withColumn("side", F.lit(True)).unionByName(large.where("doc <> component").withColumn("low", block(blocks)).withColumn("side", F.lit(False)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from blockframe.llm.common import checkpointed, handing_back, table
+from blockframe.llm.common import checkpointed, handing_back, table, unused
 
 #: Bytes of an n-gram. Texts are lower-cased, anything but letters becomes one space.
 GRAM = 4
@@ -166,23 +166,23 @@ def _chunks(texts: list, most: int = CHUNK) -> Iterator[list]:
         yield part
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and score (columns of these names are replaced); null, empty and letterless texts are `und`, score 0. Nothing is shuffled."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns lang and score (columns of these names are replaced); null, empty and letterless texts are `und`, score 0. Rows are judged each by their text alone; nothing is shuffled."""
+    names = [c for c in docs.columns if c not in (lang, score)]
     kept = docs.select(*names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = names.index(text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, pred, score = batch.column(at).to_pylist(), [], []
-            for part in _chunks(texts):
+            pred, scores = [], []
+            for part in _chunks(batch.column(at).to_pylist()):
                 a, b = classify(sent.value, part)
                 pred += a
-                score += b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+                scores += b
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(scores, pa.float64())], [*names, lang, score])
 
-    return kept.mapInArrow(handing_back(label), StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return kept.mapInArrow(handing_back(label), StructType([*kept.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -200,7 +200,10 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def speaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: docs whose language could be told; null and letterless texts (`und`) go. The model learns as in the query."""
+    """Pipeline stage: docs whose language could be told; null and letterless texts (`und`) go, and all others stay with all their columns. The model learns as in the query; where no row is labelled nothing can be told, and all rows stay."""
     model = fit(docs.where(~held_out()))
-    marked = predict(docs, model)
-    return marked.where(F.col("lang_pred") != UNDETERMINED).select(*[marked[c] for c in docs.columns])
+    if not model.langs:
+        return docs
+    lang, score = unused(docs, "_lang_pred"), unused(docs, "_score")
+    marked = predict(docs, model, lang=lang, score=score)
+    return marked.where(F.col(lang) != UNDETERMINED).select(*[marked[c] for c in docs.columns])
