@@ -72,6 +72,26 @@ def encode(df: DataFrame, key: str, data: str, options: codec.Options) -> DataFr
     return map_columns(spread(df.select(key, data)), [key, data], "archive binary", all_of)
 
 
+def encode_by_block(df: DataFrame, key: str, data: str, options: codec.Options) -> DataFrame:
+    """As encode, with a task's work some blocks and not whole contents: they are cut in the JVM, dealt anew, encoded and put together in order, so one large content keeps many tasks busy. Keys are one row each."""
+    size = options.block_size
+    raw = df.select(key, (F.encode(data, "utf-8") if dict(df.dtypes)[data] == "string" else F.col(data)).alias("raw")).withColumn("total", F.octet_length("raw").cast("long"))
+    at = F.when(F.col("total") > 0, F.sequence(F.lit(0), F.floor((F.col("total") - 1) / size).cast("int")))
+    cut = raw.select(key, "raw", "total", F.explode_outer(at).alias("i")).select(F.struct(key, "total", "i").alias("row"), F.substring("raw", F.col("i") * size + 1, F.lit(size)).alias("part"))
+
+    def blocks_of(_, parts: list) -> list[tuple]:
+        made = iter(codec.encode_blocks([bytes(p) for p in parts if p is not None], options.level, checksums=options.checksums, dictionary=options.dictionary, exact=options.exact))
+        return [(None if p is None else next(made),) for p in parts]
+
+    def whole(_, total: int | None, blocks: list) -> tuple[bytes | None]:
+        return (None if total is None else codec.assemble([bytes.fromhex(b["h"]) for b in blocks if b["h"] is not None], total, options),)
+
+    made = map_columns(spread(cut), ["row", "part"], "block binary", blocks_of)
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("row.i"), F.lit(0)).alias("i"), F.hex("block").alias("h"))))
+    grouped = made.groupBy(F.col(f"row.{key}").alias(key)).agg(F.max("row.total").alias("total"), ordered.alias("blocks"))
+    return map_rows(grouped, [key, "total", "blocks"], "archive binary", whole)
+
+
 def decode(df: DataFrame, key: str, archive: str = "archive", dictionary: codec.Dictionary = codec.NO_DICT) -> DataFrame:
     """key, data, error (name, OK if none). Null archives give null data and no error."""
 

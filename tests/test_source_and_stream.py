@@ -60,6 +60,7 @@ def test_errors_stick():
 
 def test_empty_and_null_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "abc")], "id int, text string")
+    assert {r.id: r.archive and bytes(r.archive) for r in archives.encode_by_block(df, "id", "text", codec.Options(3, 4096)).collect()} == {1: None, **{i: codec.encode(t, codec.Options(3, 4096)) for i, t in ((2, b""), (3, b"abc"))}}
     made = archives.encode(df, "id", "text", codec.Options(3, 4096))
     assert {r.id: r.data and bytes(r.data) for r in archives.decode(made, "id").collect()} == {1: None, 2: b"", 3: b"abc"}
     from pyspark.sql import functions as F
