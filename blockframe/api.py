@@ -62,8 +62,8 @@ def stream_compress(src: BinaryIO, dst: BinaryIO, level: int = 3, checksum: bool
     return files.compress_file(src, dst, codec.Options(level, wire.DEFAULT_BLOCK, checksum, seekable, _dictionary(dict, dict_huf)), progress)
 
 
-def stream_decompress(src: BinaryIO, dst: BinaryIO | None, progress: files.Progress | None = None) -> int:
-    return files.decompress_file(src, dst, progress)
+def stream_decompress(src: BinaryIO, dst: BinaryIO | None, dict=None, dict_huf: bytes | None = None, progress: files.Progress | None = None) -> int:  # noqa: A002
+    return files.decompress_file(src, dst, progress, _dictionary(dict, dict_huf))
 
 
 # -- push streams -----------------------------------------------------------------------------------------------

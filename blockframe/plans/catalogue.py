@@ -318,6 +318,11 @@ def encode_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(made.select("doc_id", F.md5("archive").alias("own")).join(whole, "doc_id"), "doc_id").select("doc_id", "text_md5", (F.col("own") == F.col("whole")).alias("same"), "error")
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"({code}, '{name}')" for code, name in wire.ERRORS.items()) + ") AS e(code, name)")
+def error_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(len(wire.ERRORS)).select((-F.col("id")).cast("int").alias("code")).select("code", C.error_name(F.col("code")).alias("name"))
+
+
 @query("SELECT doc_id, true AS archive, false AS plain FROM documents")
 def sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -110,9 +110,9 @@ def compress_file(source: BinaryIO, target: BinaryIO, options: codec.Options = c
     return size
 
 
-def decompress_file(source: BinaryIO, target: BinaryIO | None, progress: Progress | None = None) -> int:
-    """Writes the content of the archive in source, of which no dictionary is asked, to target (None: only checks it); returns the content's bytes. Damage and truncation raise ArchiveError."""
-    total, machine, done, size = _left(source), Decoder(), 0, 0
+def decompress_file(source: BinaryIO, target: BinaryIO | None, progress: Progress | None = None, dictionary: codec.Dictionary = codec.NO_DICT) -> int:
+    """Writes the content of the archive in source to target (None: only checks it); returns the content's bytes. Damage, truncation and a missing dictionary raise ArchiveError."""
+    total, machine, done, size = _left(source), Decoder(dictionary=dictionary), 0, 0
     while not machine.finished:
         data = source.read(machine.in_size)
         out = machine.push(data) if data else machine.end()
