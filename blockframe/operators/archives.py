@@ -16,14 +16,16 @@ from blockframe.functions.wire import ERRORS, ArchiveError
 _CODE = {name: code for code, name in ERRORS.items()}
 
 
-#: Bytes of contents that are encoded together.
-TOGETHER = 4 << 20
+#: Bytes of contents that are encoded together, and of a file's row group, as is usual.
+TOGETHER, ROW_GROUP = 4 << 20, 128 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as tasks can run at once: a file of one row group is one partition, and coding costs far more than dealing its rows anew. Larger inputs stay as they are."""
+    """df dealt anew over as many tasks as can run at once if Spark estimates that it holds less than ROW_GROUP for each of them: a file's row group is one task's, and coding costs far more than dealing
+    its rows. Larger inputs, and those without an estimate, stay as they are. Nothing is run to find out."""
     least = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(least) if size < least * ROW_GROUP else df
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, f: Callable[..., tuple]) -> DataFrame:
