@@ -120,7 +120,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame(rules, "action string, host string, path string") if rules else spark.range(0).select(*[F.lit("").alias(c) for c in ("action", "host", "path")])
+        rows = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(h).alias("host"), F.lit(p).alias("path")) for a, h, p in rules or [("", "", "")]])
+        rules = spark.range(1 if rules else 0).select(F.explode(rows).alias("r")).select("r.*")
     listed = rules.where("action IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL").select("action", F.concat("host", F.lit("\t"), "path").alias("key"), _labels(F.col("host")).alias("labels"), F.char_length("path").alias("length")).distinct()
     listed = checkpointed(listed)
     host, path = split_url(F.col(url_col))
