@@ -276,12 +276,46 @@ def encode_payload(data: bytes, level: int, dictionary: Dictionary = NO_DICT) ->
     return encode_payloads([data], level, dictionary)[0]
 
 
+@dataclass(frozen=True)
+class Parsed:
+    """A block's literals and sequences, all checked; size: the bytes they stand for."""
+
+    literals: np.ndarray
+    runs: np.ndarray
+    lengths: np.ndarray
+    distances: np.ndarray
+    size: int
+
+
+_NONE = np.zeros(0, np.int64)
+
+
 def decode_payload(kind: int, payload: bytes, most: int, dictionary: Dictionary = NO_DICT) -> bytes:
     """At most `most` bytes; every size and distance is checked."""
+    return rebuild([parse_payload(kind, payload, most, dictionary)], dictionary)[0]
+
+
+def rebuild(blocks: list[Parsed], dictionary: Dictionary = NO_DICT) -> list[bytes]:
+    """The bytes of blocks. Without a dictionary, blocks are resolved together: each one's last literals count as a sequence without a match."""
+    if dictionary.content:
+        before = np.frombuffer(dictionary.content, np.uint8)
+        return [matches.resolve(b.literals, before, b.runs, b.lengths, b.distances).tobytes() if len(b.runs) else b.literals.tobytes() for b in blocks]
+    if len(blocks) == 1 and not len(blocks[0].runs):
+        return [blocks[0].literals.tobytes()]
+    rest = [len(b.literals) - int(b.runs.sum()) for b in blocks]
+    runs = np.concatenate([x for b, n in zip(blocks, rest, strict=True) for x in (b.runs, [n])]).astype(np.int64)
+    lengths = np.concatenate([x for b in blocks for x in (b.lengths, [0])]).astype(np.int64)
+    distances = np.concatenate([x for b in blocks for x in (b.distances, [1])]).astype(np.int64)
+    whole = matches.resolve(np.concatenate([b.literals for b in blocks]), np.zeros(0, np.uint8), runs, lengths, distances).tobytes()
+    ends = np.cumsum([b.size for b in blocks]).tolist()
+    return [whole[e - b.size : e] for b, e in zip(blocks, ends, strict=True)]
+
+
+def parse_payload(kind: int, payload: bytes, most: int, dictionary: Dictionary = NO_DICT) -> Parsed:
     if kind == wire.RAW:
         if len(payload) > most:
             raise ArchiveError("DST_TOO_SMALL")
-        return payload
+        return Parsed(np.frombuffer(payload, np.uint8), _NONE, _NONE, _NONE, len(payload))
     if kind not in (wire.GLO, wire.GHI):
         raise ArchiveError("BAD_BLOCK_TYPE")
     if len(payload) < 12:
@@ -331,15 +365,14 @@ def decode_payload(kind: int, payload: bytes, most: int, dictionary: Dictionary
             cut = None
         except ArchiveError:  # what is wrong before counts first
             runs, lengths, distances = runs[:cut], lengths[:cut], distances[:cut]
-    before = np.frombuffer(dictionary.content, np.uint8)
     used, ends = np.cumsum(runs), np.cumsum(runs + lengths)
     wrong = np.flatnonzero((used > n) | (ends > most))
-    lost = np.flatnonzero(distances > len(before) + ends - lengths)
+    lost = np.flatnonzero(distances > len(dictionary.content) + ends - lengths)
     if len(lost) and (not len(wrong) or lost[0] < wrong[0]):
         raise ArchiveError("BAD_OFFSET")
     if len(wrong) or cut is not None or n + int(lengths.sum()) > most:
         raise ArchiveError("CORRUPT_DATA")
-    return matches.resolve(np.frombuffer(literals, np.uint8), before, runs, lengths, distances).tobytes()
+    return Parsed(np.frombuffer(literals, np.uint8), runs, lengths, distances, n + int(lengths.sum()))
 
 
 def encode_blocks(blocks: list[bytes], level: int = 3, *, checksums: bool = False, dictionary: Dictionary = NO_DICT, exact: bool = False) -> list[bytes]:
@@ -361,6 +394,10 @@ def encode_block(data: bytes, level: int = 3, *, checksums: bool = False, dictio
 
 
 def decode_block(data: bytes, most: int = wire.MAX_BLOCK, *, checksums: bool = False, dictionary: Dictionary = NO_DICT) -> bytes:
+    return rebuild([parse_block(data, most, checksums=checksums, dictionary=dictionary)], dictionary)[0]
+
+
+def parse_block(data: bytes, most: int = wire.MAX_BLOCK, *, checksums: bool = False, dictionary: Dictionary = NO_DICT) -> Parsed:
     kind, size = wire.parse_block_header(data[:8])
     if len(data) < 8 + size + 4 * checksums:
         raise ArchiveError("SRC_TOO_SMALL")
@@ -369,7 +406,7 @@ def decode_block(data: bytes, most: int = wire.MAX_BLOCK, *, checksums: bool = F
         raise ArchiveError("CORRUPT_DATA")
     if checksums and wire.checksum(payload) != struct.unpack_from("<I", data, 8 + size)[0]:
         raise ArchiveError("BAD_CHECKSUM")
-    return decode_payload(kind, payload, most, dictionary)
+    return parse_payload(kind, payload, most, dictionary)
 
 
 # -- archives ---------------------------------------------------------------------------------------------------
@@ -416,6 +453,45 @@ def encode(data: bytes, options: Options = Options()) -> bytes:  # noqa: B008
 
 def decode(data: bytes, dictionary: Dictionary = NO_DICT, *, verify: bool = True) -> bytes:
     """The whole content; errors as ArchiveError. verify: check block and stream checksums, where the archive has them."""
+    out = decode_many([data], dictionary, verify=verify)[0]
+    if isinstance(out, ArchiveError):
+        raise out
+    return out
+
+
+def decode_many(archives: list[bytes], dictionary: Dictionary = NO_DICT, *, verify: bool = True) -> list[bytes | ArchiveError]:
+    """Of each archive its whole content or the error. Blocks of many archives, some TOGETHER bytes of content, are resolved together."""
+    out: list[bytes | ArchiveError] = []
+    waiting: list[tuple[int, list[Parsed]]] = []
+    held = 0
+
+    def flush() -> None:
+        if waiting:
+            use = dictionary if wire.parse_file_header(archives[waiting[0][0]])["dict_id"] is not None else NO_DICT
+            made = iter(rebuild([b for _, blocks in waiting for b in blocks], use) if any(blocks for _, blocks in waiting) else [])
+            for i, blocks in waiting:
+                out[i] = b"".join([next(made) for _ in blocks])
+            waiting.clear()
+
+    for i, data in enumerate(archives):
+        out.append(b"")
+        try:
+            blocks = _parse(data, dictionary, verify)
+        except ArchiveError as e:
+            out[i] = e
+            continue
+        size = sum(b.size for b in blocks)
+        if waiting and (held + size > TOGETHER or wire.parse_file_header(data)["dict_id"] != wire.parse_file_header(archives[waiting[0][0]])["dict_id"]):
+            flush()
+            held = 0
+        waiting.append((i, blocks))
+        held += size
+    flush()
+    return out
+
+
+def _parse(data: bytes, dictionary: Dictionary, verify: bool) -> list[Parsed]:
+    """The checked blocks of an archive whose footer and checksums fit them."""
     head = wire.parse_file_header(data)
     check_dictionary(head["dict_id"], dictionary)
     use = dictionary if head["dict_id"] is not None else NO_DICT
@@ -430,7 +506,7 @@ def decode(data: bytes, dictionary: Dictionary = NO_DICT, *, verify: bool = True
             raise ArchiveError("BAD_BLOCK_TYPE")
         end = at + 8 + size + 4 * head["checksums"]
         block = data[at:end]
-        out.append(decode_block(block, head["block_size"], checksums=head["checksums"] and verify, dictionary=use))
+        out.append(parse_block(block, head["block_size"], checksums=head["checksums"] and verify, dictionary=use))
         if head["checksums"]:
             if len(block) < end - at:
                 raise ArchiveError("SRC_TOO_SMALL")
@@ -439,12 +515,11 @@ def decode(data: bytes, dictionary: Dictionary = NO_DICT, *, verify: bool = True
     if len(data) < at + 20:
         raise ArchiveError("SRC_TOO_SMALL")
     size, stored = struct.unpack("<QI", data[-12:])
-    whole = b"".join(out)
-    if size != len(whole):
+    if size != sum(b.size for b in out):
         raise ArchiveError("CORRUPT_DATA")
     if verify and head["checksums"] and stored != total:
         raise ArchiveError("BAD_CHECKSUM")
-    return whole
+    return out
 
 
 def check_dictionary(wanted: int | None, dictionary: Dictionary) -> None:

@@ -97,15 +97,12 @@ def encode_by_block(df: DataFrame, key: str, data: str, options: codec.Options)
 def decode(df: DataFrame, key: str, archive: str = "archive", dictionary: codec.Dictionary = codec.NO_DICT) -> DataFrame:
     """key, data, error (name, OK if none). Null archives give null data and no error."""
 
-    def one(_, a: bytes | None) -> tuple[bytes | None, str | None]:
-        if a is None:
-            return None, None
-        try:
-            return codec.decode(bytes(a), dictionary), "OK"
-        except ArchiveError as e:
-            return None, e.name
+    def all_of(_, archives: list) -> list[tuple]:
+        made = iter(codec.decode_many([bytes(a) for a in archives if a is not None], dictionary))
+        got = [None if a is None else next(made) for a in archives]
+        return [(None, None) if g is None else (None, g.name) if isinstance(g, ArchiveError) else (g, "OK") for g in got]
 
-    return map_rows(df, [key, archive], "data binary, error string", one)
+    return map_columns(df, [key, archive], "data binary, error string", all_of)
 
 
 def listing(df: DataFrame, key: str, archive: str = "archive") -> DataFrame:

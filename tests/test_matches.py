@@ -92,3 +92,22 @@ def test_blocks_encoded_together_equal_blocks_alone():
         together = codec.encode_blocks(blocks, level, checksums=True)
         assert [codec.decode_block(b, checksums=True) for b in together] == blocks
         assert together == [codec.encode_block(b, level, checksums=True) for b in blocks]
+
+
+def test_archives_decoded_together():
+    """Good ones, damaged ones and ones with a dictionary among each other: each has its own content or error."""
+    rng = np.random.default_rng(2)
+    contents = [bytes(rng.integers(97, 99 + n % 5, n * 37).astype(np.uint8)) for n in range(60)] + [b"abc" * 100_000, b""]
+    own = codec.Dictionary(contents[50])
+    made = [codec.encode(c, codec.Options(1 + i % 5, 4096, dictionary=own if i % 7 == 3 else codec.NO_DICT)) for i, c in enumerate(contents)]
+    assert codec.decode_many(made, own) == contents
+    bad = [a[:-1] + bytes([a[-1] ^ 1]) if i % 3 == 0 else a for i, a in enumerate(made)]
+    got = codec.decode_many(bad)
+    for i, (g, c) in enumerate(zip(got, contents, strict=True)):
+        if i % 7 == 3:
+            assert g.name == "DICT_REQUIRED"
+        elif i % 3 == 0:
+            assert g.name == "BAD_CHECKSUM"
+        else:
+            assert g == c
+    assert codec.decode_many([]) == []
