@@ -72,6 +72,21 @@ def join_dealt(rows: DataFrame, groups: DataFrame, on: list[str], total: int, ho
     return rest if how == "left_anti" else rows.join(F.broadcast(hot), on).unionByName(rest)
 
 
+def bit_of(data: bytes, slot: Column) -> Column:
+    """Whether bit `slot` (from 0, lowest of each byte first) of data is set."""
+    byte = F.conv(F.hex(F.substring(F.lit(data), (slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), F.pmod(slot, F.lit(8)).cast("int") + 1)) != 0
+
+
+def bits_at(slots: DataFrame, size: int) -> bytes:
+    """size bits with those at column slot set; the driver receives at most a row for each byte."""
+    data = bytearray(size // 8)
+    bit = F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), F.pmod("slot", F.lit(8)).cast("int") + 1)
+    for byte, value in slots.groupBy((F.col("slot") / 8).cast("int").alias("byte")).agg(F.bit_or(bit).alias("value")).collect():
+        data[byte] = value
+    return bytes(data)
+
+
 _LIBC = ctypes.CDLL(None)
 
 

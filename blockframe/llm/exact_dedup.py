@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import ascii_lower, checkpointed, join_dealt, table, unused
+from blockframe.llm.common import ascii_lower, bit_of, bits_at, checkpointed, join_dealt, table, unused
 
 #: Bytes of the normalised text that the second level hashes.
 PREFIX_BYTES = 256
+#: Bits that tell which prefix groups may survive level 2, a literal of the second scan's plan. More groups than bits only mean that more texts are hashed.
+SURVIVOR_BITS = 1 << 22
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, prefix_bytes: int, digest_all: bool) -> DataFrame:
@@ -23,8 +25,11 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, prefix_bytes: int, dige
     level1 = join_dealt(rows, by_len, ["len"], total, "inner")
     prefix = ["len", "ph"]
     by_prefix = checkpointed(level1.groupBy(*prefix).agg(F.count("*").alias("n")).where("n > 1"))
-    whole = rows if digest_all else docs.select(*keys, norm.alias("norm"))
-    level2 = checkpointed(join_dealt(whole, by_prefix, prefix, total, "inner").select("id", *prefix, "text_sha256" if digest_all else digest))
+    if not digest_all:
+        slot = F.pmod(F.xxhash64(*prefix), F.lit(SURVIVOR_BITS))
+        some = bits_at(by_prefix.select(slot.alias("slot")), SURVIVOR_BITS)
+        hashed = docs.select(*keys, norm.alias("norm")).where(bit_of(some, slot)).select("id", *prefix, digest)
+    level2 = checkpointed(join_dealt(rows if digest_all else hashed, by_prefix, prefix, total, "inner").drop("n"))
     full = [*prefix, "text_sha256"]
     groups = checkpointed(level2.groupBy(*full).agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1"))
     alone = join_dealt(rows, by_prefix, prefix, total, "left_anti").select("id", *prefix, "text_sha256" if digest_all else F.lit(None).cast("string").alias("text_sha256"))
@@ -44,8 +49,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Level 1 counts byte lengths, level 2 counts (length, hash of the first prefix_bytes bytes) among rows whose
     length is shared, level 3 groups by the full SHA-256 among rows that level 2 kept. digest_all=False hashes the whole text of only those
-    rows, in a second scan that deals texts by their prefix keys (text_sha256 is null elsewhere); digest_all=True hashes each text in
-    the first scan, for callers that need every digest, and shuffles keys and digests only, never a text.
+    rows, in a second scan (and of some that share a bit with them; text_sha256 is null elsewhere); digest_all=True hashes each text in
+    the first scan, for callers that need every digest. Only keys and digests are shuffled, never a text.
     """
     return _groups(docs, id_col, text_col, prefix_bytes, digest_all).drop("len", "ph")
 
@@ -71,4 +76,4 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lost = found.groupBy("id", "len", "ph").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("id").alias(own), F.col("len").alias(size), F.col("ph").alias(ph))
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.xxhash64(F.substring(F.encode(ascii_lower(text), "utf-8"), 1, PREFIX_BYTES))
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col(own)) & (F.octet_length(text) == F.col(size)) & (key == F.col(ph)), "left_anti")
+    return docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)) & (F.octet_length(text) == F.col(size)) & (key == F.col(ph)), "left_anti")

@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def in_blocks(n: Column) -> Column:
         return F.ceil(n / BLOCK).cast("int")
 
-    zero, texts = F.lit(0), rows.join(members, F.col("doc") == F.col("node")).select("doc", "text", "component", "n")
+    zero, texts = F.lit(0), rows.join(members.hint("merge"), F.col("doc") == F.col("node")).select("doc", "text", "component", "n")
     made = checkpointed(texts.mapInArrow(handing_back(sets), "doc long, component long, n long, data binary"))
     links = checked(made.where(F.col("n") <= BLOCK).select("component", zero.alias("low"), zero.alias("high"), F.lit(None).cast("boolean").alias("side"), "doc", "data"))
     if sizes.where(F.col("n") > BLOCK).limit(1).count():
@@ -425,7 +425,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int
     """Of each group of linked documents the one with the smallest id; documents without links and rows with a null id stay. All columns kept."""
     name = unused(docs, "_lost_id")
     lost = near_duplicates(docs, percent=percent, size=size).where("id <> component_id").select(F.col("id").alias(name)).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col(name), "left_anti")
+    return docs.join(lost.hint("merge"), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

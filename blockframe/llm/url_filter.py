@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import LOWER, UPPER, checkpointed, table
+from blockframe.llm.common import LOWER, UPPER, bit_of, bits_at, checkpointed, table
 
 #: Rules that one cascade lists, about: its filters, literals of the plan, hold some 3 bytes a rule. More rules are dealt over several cascades by a hash of the key.
 CASCADE_RULES = 100_000
@@ -18,11 +18,6 @@ def _slot(key: Column, level: int, i: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(level), F.lit(i), key), F.lit(bits).cast("long"))
 
 
-def _bit(filter_bytes: bytes, slot: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.lit(filter_bytes), (slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), F.pmod(slot, F.lit(8)).cast("int") + 1)) != 0
-
-
 class Cascade:
     """Levels (bits, hashes, bytes). Odd levels encode listed keys, even ones the false positives of the level before."""
 
@@ -33,7 +28,7 @@ class Cascade:
         bits, hashes, data = self.levels[level]
         out = F.lit(True)
         for i in range(hashes):
-            out = out & _bit(data, _slot(key, level, i, bits))
+            out = out & bit_of(data, _slot(key, level, i, bits))
         return out
 
     def contains(self, key: Column) -> Column:
@@ -49,10 +44,7 @@ def _encode(keys: DataFrame, level: int, n: int, rate: float) -> tuple[int, int,
     hashes = max(1, round(-math.log2(rate)))
     bits = max(64, math.ceil(n * hashes / math.log(2) / 8) * 8)
     slots = keys.select(F.explode(F.array(*[_slot(F.col("key"), level, i, bits) for i in range(hashes)])).alias("slot"))
-    data = bytearray(bits // 8)
-    for byte, value in slots.groupBy((F.col("slot") / 8).cast("int").alias("byte")).agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << b) for b in range(8)]), F.pmod("slot", F.lit(8)).cast("int") + 1)).alias("value")).collect():
-        data[byte] = value
-    return bits, hashes, bytes(data)
+    return bits, hashes, bits_at(slots, bits)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
