@@ -390,10 +390,10 @@ def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id::VARCHAR AS name, md5(text) AS text_md5, (octet_length(encode(text)) + 4095) // 4096 AS n_blocks FROM documents")
 def source_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives written to files by the data source, below the checkpoint folder, and read back whole and as an index."""
-    from blockframe.sources.archive import SUFFIX, ArchiveSource
+    from blockframe.sources.archive import SUFFIX, register
     from blockframe.streaming import push
 
-    spark.dataSource.register(ArchiveSource)
+    register(spark)
     folder = f"{push.shared_folder(spark)}/archives-{uuid.uuid4().hex}"
     rows = _raw(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "data")
     archives.spread(rows).write.format("blkarc").option("block_size", BLOCK).mode("append").save(folder)

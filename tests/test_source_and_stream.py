@@ -4,7 +4,7 @@ import pytest
 
 from blockframe.functions import codec, wire
 from blockframe.operators import archives, blocks
-from blockframe.sources.archive import ArchiveSource
+from blockframe.sources.archive import register
 from blockframe.streaming import push
 
 TEXT = "one sentence that is repeated with a number {} in it. "
@@ -13,7 +13,7 @@ TEXT = "one sentence that is repeated with a number {} in it. "
 @pytest.fixture(scope="module")
 def written(spark, tmp_path_factory):
     top = str(tmp_path_factory.mktemp("arc")) + "/out"
-    spark.dataSource.register(ArchiveSource)
+    register(spark)
     rows = [(f"f{i}", "".join(TEXT.format(j * i) for j in range(300 * i)).encode()) for i in range(1, 4)] + [("none", b"")]
     spark.createDataFrame(rows, "name string, data binary").write.format("blkarc").option("level", "3").option("block_size", "4096").mode("append").save(top)
     return top, dict(rows)
@@ -93,7 +93,7 @@ def test_large_archives_are_split_over_tasks(spark, written, monkeypatch):
 
 
 def test_dictionaries_in_the_source(spark, tmp_path):
-    spark.dataSource.register(ArchiveSource)
+    register(spark)
     own = codec.Dictionary((TEXT * 20).encode())
     (tmp_path / "words.dict").write_bytes(own.save())
     rows = [("a", TEXT.format(7).encode()), ("b", (TEXT.format(8) * 300).encode())]
@@ -108,7 +108,7 @@ def test_dictionaries_in_the_source(spark, tmp_path):
 
 
 def test_names_of_written_archives(spark, tmp_path):
-    spark.dataSource.register(ArchiveSource)
+    register(spark)
 
     def write(names, mode="append", data=b"x" * 100):
         spark.createDataFrame([(n, data) for n in names], "name string, data binary").write.format("blkarc").mode(mode).save(f"{tmp_path}/out")
