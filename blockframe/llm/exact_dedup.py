@@ -10,7 +10,7 @@ from blockframe.llm.common import ascii_lower, bit_of, bits_at, checkpointed, jo
 #: Bytes of the normalised text that the second level hashes.
 PREFIX_BYTES = 256
 #: Bits that tell which prefix groups may survive level 2, a literal of the second scan's plan. More groups than bits only mean that more texts are hashed.
-SURVIVOR_BITS = 1 << 22
+SURVIVOR_BITS = 1 << 17
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, prefix_bytes: int, digest_all: bool) -> DataFrame:
