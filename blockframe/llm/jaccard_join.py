@@ -2,7 +2,8 @@
 
 The tree needs documents that may match close together. They get there by partition signatures: sets of similar size whose
 symmetric difference is at most t agree wholly in one of t + 1 parts of the shingles' groups, so documents are dealt by the print of each part. Below PERCENT such parts are too small to tell documents
-apart; there, documents are dealt by their rarest shingles. Documents that share a part or such a shingle, directly or through others, form a cell. In a cell, an R-tree over count vectors bounds the overlap and the surviving pairs are verified exactly.
+apart; there, documents are dealt by their rarest shingles. Documents of similar size that share a part or such a shingle, directly or through others, form a cell.
+Fine count vectors of all documents, made in the same scan, split the cells into those whose documents may link; only the texts of these are read again. In a cell, an R-tree over count vectors bounds the overlap and the surviving pairs are verified exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockframe.llm.common import LOWER, UPPER, checkpointed, hand_back, handing_back, join_dealt, parts_for, shuffle_partitions, table, unused
+from blockframe.llm.common import LOWER, UPPER, checkpointed, hand_back, handing_back, join_dealt, may_be_in, parts_for, shuffle_partitions, table, unused
 from blockframe.llm.components import components
 from blockframe.llm.poly import Prints, U, mix
 from blockframe.llm.recompression import word_bounds
@@ -32,12 +33,14 @@ MAX_COMMON = 1 << 22
 GROUPS, FANOUT = 64, 16
 #: Documents of a cell that meet in one task. In larger cells all are first compared with the first one, and then those that don't link with it with all, block by block.
 BLOCK = 512
+#: Shingles for each coordinate of a fine count vector, at most, and least coordinates; such vectors that meet in one task.
+PER_COORDINATE, LEAST_COORDINATES, VECTOR_BLOCK = 4, 16, 4096
 FLUSH_SHINGLES = 1 << 22
 #: Buckets for each shuffle partition, and bytes of the input for each bucket.
 SPREAD, BUCKET_BYTES = 2, 64 << 20
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BASE, SAME, PARTS, PAIRS = 0, 1, 2, 3
-FOUND = "kind int, a long, b long, n long"
+FOUND = "kind int, a long, b long, n long, data binary"
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -201,32 +204,83 @@ def verify(docs: list[int], sets: list[np.ndarray], sides: list[bool] | None = N
     return out
 
 
-def stars(sign: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each signature once, its smallest document, and distinct pairs (that one, another of the signature)."""
-    order = np.lexsort((doc, sign))
-    sign, doc = sign[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]])) if len(sign) else np.zeros(0, np.int64)
-    star = doc[np.repeat(first, np.diff(np.append(first, len(sign))))]
+def stars(sign: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Runs of a signature: documents, each standing for set sizes from low to high, in which no size is too small to link with the next. Of each run: signature, smallest document, least and largest size; and distinct pairs (that document, another of the run)."""
+    order = np.lexsort((doc, low, sign))
+    sign, doc, low, high = sign[order], doc[order], low[order], high[order]
+    fresh = np.ones(len(sign), bool)
+    if len(sign):
+        fresh[1:] = sign[1:] != sign[:-1]
+        base = np.cumsum(fresh) << 32
+        reach = np.maximum.accumulate(high + base) - base  # largest size so far of the signature
+        fresh[1:] |= 100 * reach[:-1] < percent * low[1:]
+    first = np.flatnonzero(fresh)
+    if not len(first):
+        return sign, doc, low, high, np.zeros((0, 2), np.int64)
+    least = np.minimum.reduceat(doc, first)
+    star = np.repeat(least, np.diff(np.append(first, len(sign))))
     other = doc != star
     pairs = np.unique(np.stack([star[other], doc[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return sign[first], doc[first], pairs
+    return sign[first], least, low[first], np.maximum.reduceat(high, first), pairs
 
 
-def _found(kind: int, a, b, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["kind", "a", "b", "n"])
+def coordinates(n: np.ndarray) -> np.ndarray:
+    """Coordinates of the fine vectors of sets of n, as powers of two."""
+    return np.ceil(np.log2(np.maximum(-(-n // PER_COORDINATE), LEAST_COORDINATES))).astype(np.int64)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(arrays[0])).tobytes() + b"".join(a.tobytes() for a in arrays))
+def fine_vectors(prints: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Each set's count vector, coordinates by the highest bits: of bytes, or where a count is larger of 32-bit integers."""
+    n = np.diff(bounds)
+    power = coordinates(n)
+    edge = np.concatenate([[0], np.cumsum(1 << power)])
+    own = np.repeat(np.arange(len(n)), n)
+    count = np.bincount(edge[own] + (prints >> (64 - power[own]).astype(U)).astype(np.int64), minlength=edge[-1])
+    small, wide = count.astype(np.uint8).tobytes(), np.maximum.reduceat(count, edge[:-1]) > 255 if len(n) else []
+    return [count[a:b].astype("<u4").tobytes() if w else small[a:b] for a, b, w in zip(edge[:-1].tolist(), edge[1:].tolist(), wide, strict=True)]
+
+
+def may_link(sizes: np.ndarray, vectors: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets that connect all that pairs connect whose overlap, at most the sum of the smaller counts, may suffice."""
+    power = coordinates(sizes)
+    order = np.argsort(sizes, kind="stable")
+    label, out = np.arange(len(sizes)), []
+    for p in np.unique(power).tolist():
+        asks = order[power[order] == p]
+        pool = order[(power[order] >= p) & (sizes[order] >= sizes[asks[0]]) & (percent * sizes[order] <= 100 * sizes[asks[-1]])]
+        table_ = np.stack([np.frombuffer(v, np.uint8 if len(v) == 1 << w else "<u4").astype(np.int32).reshape(1 << p, -1).sum(axis=1) for v, w in ((vectors[i], power[i]) for i in pool.tolist())])
+        held = sizes[pool]
+        for at, i in enumerate(asks.tolist()):  # the pool begins with those that ask
+            stop = int(np.searchsorted(held, 100 * sizes[i] // percent, side="right"))
+            rest = np.arange(at + 1, stop)
+            rest = rest[label[pool[rest]] != label[i]]
+            if not len(rest):
+                continue
+            bound = np.minimum(table_[rest], table_[at]).sum(axis=1)
+            for j in pool[rest[(100 + percent) * bound >= percent * (sizes[i] + held[rest])]].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((i, j))
+    return out
+
+
+def _found(kind: int, a, b, n, data=None) -> pa.RecordBatch:
+    data = pa.nulls(len(n), pa.binary()) if data is None else data
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), data], ["kind", "a", "b", "n", "data"])
+
+
+def _pack(*arrays: np.ndarray, more: bytes = b"") -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(arrays[0])).tobytes() + b"".join(a.tobytes() for a in arrays) + more)
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays, and the bytes after them."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     n, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
     for kind in kinds:
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
-    return out
+    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
 
 
 def common_shingles(rows: DataFrame, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +309,7 @@ def common_shingles(rows: DataFrame, size: int, buckets: int) -> tuple[np.ndarra
 
     def name(group: pa.Table) -> pa.Table:
         parts = [_unpack(x, "<u4", "<u4") for x in group["data"].to_pylist()]
-        short, times = np.concatenate([np.cumsum(s, dtype=np.int64) for s, _ in parts]), np.concatenate([t for _, t in parts])
+        short, times = np.concatenate([np.cumsum(s, dtype=np.int64) for s, _, _ in parts]), np.concatenate([t for _, t, _ in parts])
         order = np.argsort(short, kind="stable")
         short, times = short[order], times[order]
         first = np.flatnonzero(np.diff(short, prepend=-1))
@@ -267,9 +321,9 @@ def common_shingles(rows: DataFrame, size: int, buckets: int) -> tuple[np.ndarra
 
     found = rows.select("text").mapInArrow(handing_back(count), "bucket int, data binary").groupBy("bucket").applyInArrow(name, "data binary")
     parts = [_unpack(r.data, "<u4", "u1") for r in found.collect()]
-    short = np.concatenate([s for s, _ in parts]) if parts else np.zeros(0, np.uint32)
+    short = np.concatenate([s for s, _, _ in parts]) if parts else np.zeros(0, np.uint32)
     order = np.argsort(short)
-    return short[order], (np.concatenate([f for _, f in parts])[order] + 1 if parts else np.zeros(0, np.uint8))
+    return short[order], (np.concatenate([f for _, f, _ in parts])[order] + 1 if parts else np.zeros(0, np.uint8))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -286,22 +340,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, int] = {}
-        signs, whose, base, same, n = [], [], [], [], 0
+        signs, whose, held_by, base, same, n = [], [], [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             out = [(int(same[0][0]) % buckets if same else 0, SAME, _pack(*np.array(same, "<i8").T.copy()))] if same else []
-            for ids, null, held in base:
-                out.append((int(np.abs(ids[0])) % buckets, BASE, _pack(ids.astype("<i8"), held.astype("<i8"), null.astype("u1"))))
+            for ids, null, held, vectors in base:
+                length = np.array([len(v) for v in vectors], "<i4")
+                out.append((int(np.abs(ids[0])) % buckets, BASE, _pack(ids.astype("<i8"), held.astype("<i8"), null.astype("u1"), length, more=b"".join(vectors))))
             if signs:
-                sign, doc, pairs = stars(np.concatenate(signs), np.concatenate(whose))
-                if len(pairs):  # this task's documents of one signature: the first stands for them
+                size_ = np.concatenate(held_by)
+                sign, doc, low, high, pairs = stars(np.concatenate(signs), np.concatenate(whose), size_, size_, percent)
+                if len(pairs):  # this task's documents of one run of sizes of a signature: the first stands for them
                     out.append((int(np.abs(pairs[0, 0])) % buckets, PAIRS, _pack(*pairs.T.copy())))
                 where = (sign % U(buckets)).astype(np.int64)
                 order = np.lexsort((doc, where))
-                sign, doc, where = sign[order], doc[order], where[order]
+                sign, doc, low, high, where = sign[order], doc[order], low[order], high[order], where[order]
                 edge = np.flatnonzero(np.diff(where, prepend=-1))
                 for a, b in zip(edge, np.append(edge[1:], len(where)) if len(edge) else edge, strict=True):
-                    out.append((int(where[a]), PARTS, _pack(sign[a:b].astype("<u8"), np.diff(doc[a:b], prepend=0).astype("<i8"))))
+                    out.append((int(where[a]), PARTS, _pack(sign[a:b].astype("<u8"), np.diff(doc[a:b], prepend=0).astype("<i8"), low[a:b].astype("<u4"), (high[a:b] - low[a:b]).astype("<u4"))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "kind", "data"])
 
@@ -312,7 +368,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for a, b in chunks(texts):
                 prints, bounds = shingle_sets(texts[a:b], size)
                 held = np.diff(bounds)
-                base.append((ids[a:b], null[a:b], held))
                 sums = [np.concatenate([[U(0)], np.cumsum(mix(prints + U(salt)))]) for salt in (1, 2)]
                 keys = zip(held.tolist(), *((s[bounds[1:]] - s[bounds[:-1]]).tolist() for s in sums), strict=True)
                 fresh = np.zeros(b - a, bool)
@@ -325,37 +380,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 part = np.repeat(fresh, held)
                 kept = np.flatnonzero(fresh)
                 edges = np.concatenate([[0], np.cumsum(held[kept])])
+                vectors = [b""] * (b - a)
+                for i, v in zip(kept.tolist(), fine_vectors(prints[part], edges), strict=True):
+                    vectors[i] = v
+                base.append((ids[a:b], null[a:b], held, vectors))
                 sign, own = rarest(prints[part], edges, percent, common.value) if common else signatures(prints[part], edges, percent)
                 signs.append(sign)
                 whose.append(ids[a:b][kept][own])
+                held_by.append(held[kept][own])
                 n += len(sign)
                 if n >= FLUSH_SHINGLES:
                     yield from flush()
-                    signs, whose, base, same, n, seen = [], [], [], [], 0, {}
+                    signs, whose, held_by, base, same, n, seen = [], [], [], [], [], 0, {}
         if base:
             yield from flush()
 
     def meet(group: pa.Table) -> pa.Table:
-        out, signs, docs_ = [], [], []
+        out, signs, docs_, lows, highs = [], [], [], [], []
         for kind, data in zip(group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
             if kind == BASE:
-                ids, held, null = _unpack(data, "<i8", "<i8", "u1")
-                out.append(_found(BASE, pa.array(ids, mask=null.astype(bool)), np.zeros(len(ids), np.int64), held))
+                ids, held, null, length, flat = _unpack(data, "<i8", "<i8", "u1", "<i4")
+                edges = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                vectors = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(flat.tobytes())])
+                out.append(_found(BASE, pa.array(ids, mask=null.astype(bool)), np.zeros(len(ids), np.int64), held, vectors))
             elif kind in (SAME, PAIRS):
-                a, b = _unpack(data, "<i8", "<i8")
+                a, b, _ = _unpack(data, "<i8", "<i8")
                 out.append(_found(SAME if kind == SAME else PARTS, a, b, np.zeros(len(a), np.int64)))
             else:
-                sign, doc = _unpack(data, "<u8", "<i8")
+                sign, doc, low, more, _ = _unpack(data, "<u8", "<i8", "<u4", "<u4")
                 signs.append(sign)
                 docs_.append(np.cumsum(doc))
+                lows.append(low.astype(np.int64))
+                highs.append(lows[-1] + more)
         if signs:
-            _, _, pairs = stars(np.concatenate(signs), np.concatenate(docs_))
+            *_, pairs = stars(np.concatenate(signs), np.concatenate(docs_), np.concatenate(lows), np.concatenate(highs), percent)
             out.append(_found(PARTS, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64)))
         hand_back()
         return pa.Table.from_batches(out)
 
     found = checkpointed(rows.mapInArrow(handing_back(scan), "bucket int, kind int, data binary").groupBy("bucket").applyInArrow(meet, FOUND))
-    cells = checkpointed(components(found.where(F.col("kind") == PARTS).select("a", "b")))
+
+    def narrow(group: pa.Table) -> pa.Table:
+        """Pairs of each task's documents that may link by their fine vectors."""
+        tasks, out = {}, []
+        for row in zip(*(group[c].to_pylist() for c in ("component", "band", "low", "high", "node", "size", "data")), strict=True):
+            tasks.setdefault(row[:4], []).append(row[4:])
+        for own in tasks.values():
+            ids, held, vectors = zip(*sorted(own), strict=True)
+            out += [(ids[i], ids[j]) for i, j in may_link(np.array(held, np.int64), list(vectors), percent)]
+        hand_back()
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    def narrowed(cells: DataFrame) -> DataFrame:
+        """The parts of cells (node, component) that fine vectors leave. Large cells are dealt by bands of set sizes, two neighbouring ones a task, and these block by block."""
+        total = cells.count()
+        sizes = checkpointed(cells.groupBy("component").agg(F.count("*").alias("n")))
+        vectors = found.where((F.col("kind") == BASE) & (F.octet_length("data") > 0)).select(F.col("a").alias("node"), F.col("n").alias("size"), "data")
+        members = checkpointed(vectors.join(join_dealt(cells, sizes, ["component"], total).hint("merge"), "node"))
+        zero, large = F.lit(0), members.where(F.col("n") > VECTOR_BLOCK)
+        task = ["component", "band", "low", "high", "node", "size", "data"]
+        tasks = members.where(F.col("n") <= VECTOR_BLOCK).select("component", zero.alias("band"), zero.alias("low"), zero.alias("high"), "node", "size", "data")
+        if sizes.where(F.col("n") > VECTOR_BLOCK).limit(1).count():
+            band = F.floor(F.log("size") / np.log(100.1 / percent)).cast("int")  # a little wider than what links, for the logarithm's sake
+            large = checkpointed(large.select("component", "node", "size", "data", F.explode(F.array(band, band - 1)).alias("band")))
+            counts = checkpointed(large.groupBy("component", "band").agg(F.count("*").alias("n")))
+            blocks = F.ceil(F.col("n") / VECTOR_BLOCK).cast("int")
+            dealt = join_dealt(large, counts, ["component", "band"], large.count()).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
+            tasks = tasks.unionByName(dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).select(*task))
+        dealt = tasks.withColumn("bucket", F.pmod(F.xxhash64("component", "band", "low", "high"), F.lit(2 * buckets)).cast("int"))
+        return components(dealt.groupBy("bucket").applyInArrow(narrow, "a long, b long"))
+
+    cells = checkpointed(narrowed(checkpointed(components(found.where(F.col("kind") == PARTS).select("a", "b")))))
     total = cells.count()
     sizes = checkpointed(cells.groupBy("component").agg(F.count("*").alias("n")))
     members = checkpointed(join_dealt(cells, sizes, ["component"], total))
@@ -391,7 +486,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def in_blocks(n: Column) -> Column:
         return F.ceil(n / BLOCK).cast("int")
 
-    zero, texts = F.lit(0), rows.join(members.hint("merge"), F.col("doc") == F.col("node")).select("doc", "text", "component", "n")
+    zero, texts = F.lit(0), may_be_in(rows, "doc", members.select("node"))[0].join(members.hint("merge"), F.col("doc") == F.col("node")).select("doc", "text", "component", "n")
     made = checkpointed(texts.mapInArrow(handing_back(sets), "doc long, component long, n long, data binary"))
     links = checked(made.where(F.col("n") <= BLOCK).select("component", zero.alias("low"), zero.alias("high"), F.lit(None).cast("boolean").alias("side"), "doc", "data"))
     if sizes.where(F.col("n") > BLOCK).limit(1).count():
@@ -424,8 +519,9 @@ ORACLE_SQL: dict[str, str] = {}
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; documents without links and rows with a null id stay. All columns kept."""
     name = unused(docs, "_lost_id")
-    lost = near_duplicates(docs, percent=percent, size=size).where("id <> component_id").select(F.col("id").alias(name)).distinct()
-    return docs.join(lost.hint("merge"), F.col("doc_id") == F.col(name), "left_anti")
+    lost = checkpointed(near_duplicates(docs, percent=percent, size=size).where("id <> component_id").select(F.col("id").alias(name)).distinct())
+    some, others = may_be_in(docs, "doc_id", lost)
+    return others.unionByName(some.join(lost.hint("merge"), F.col("doc_id") == F.col(name), "left_anti"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
