@@ -432,15 +432,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     def narrowed(cells: DataFrame) -> DataFrame:
-        """The parts of cells (node, component) that fine vectors leave. Large cells are dealt by bands of set sizes, two neighbouring ones a task, and these block by block."""
-        total = cells.count()
-        sizes = checkpointed(cells.groupBy("component").agg(F.count("*").alias("n")))
+        """The parts of cells (node, component, n) that fine vectors leave. Large cells are dealt by bands of set sizes, two neighbouring ones a task, and these block by block."""
         vectors = found.where((F.col("kind") == BASE) & (F.octet_length("data") > 0)).select(F.col("a").alias("node"), F.col("n").alias("size"), "data")
-        members = checkpointed(vectors.join(join_dealt(cells, sizes, ["component"], total).hint("merge"), "node"))
+        members = checkpointed(vectors.join(cells.hint("merge"), "node"))
         zero, large = F.lit(0), members.where(F.col("n") > VECTOR_BLOCK)
         task = ["component", "band", "low", "high", "node", "size", "data"]
         tasks = members.where(F.col("n") <= VECTOR_BLOCK).select("component", zero.alias("band"), zero.alias("low"), zero.alias("high"), "node", "size", "data")
-        if sizes.where(F.col("n") > VECTOR_BLOCK).limit(1).count():
+        if cells.where(F.col("n") > VECTOR_BLOCK).limit(1).count():
             band = F.floor(F.log("size") / np.log(100.1 / percent)).cast("int")  # a little wider than what links, for the logarithm's sake
             large = checkpointed(large.select("component", "node", "size", "data", F.explode(F.array(band, band - 1)).alias("band")))
             counts = checkpointed(large.groupBy("component", "band").agg(F.count("*").alias("n")))
@@ -450,10 +448,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dealt = tasks.withColumn("bucket", F.pmod(F.xxhash64("component", "band", "low", "high"), F.lit(2 * buckets)).cast("int"))
         return components(dealt.groupBy("bucket").applyInArrow(narrow, "a long, b long"))
 
-    cells = checkpointed(narrowed(checkpointed(components(found.where(F.col("kind") == PARTS).select("a", "b")))))
-    total = cells.count()
-    sizes = checkpointed(cells.groupBy("component").agg(F.count("*").alias("n")))
-    members = checkpointed(join_dealt(cells, sizes, ["component"], total))
+    cells = narrowed(components(found.where(F.col("kind") == PARTS).select("a", "b")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -486,13 +481,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def in_blocks(n: Column) -> Column:
         return F.ceil(n / BLOCK).cast("int")
 
-    zero, texts = F.lit(0), may_be_in(rows, "doc", members.select("node"))[0].join(members.hint("merge"), F.col("doc") == F.col("node")).select("doc", "text", "component", "n")
+    zero, texts = F.lit(0), may_be_in(rows, "doc", cells.select("node"))[0].join(cells.hint("merge"), F.col("doc") == F.col("node")).select("doc", "text", "component", "n")
     made = checkpointed(texts.mapInArrow(handing_back(sets), "doc long, component long, n long, data binary"))
     links = checked(made.where(F.col("n") <= BLOCK).select("component", zero.alias("low"), zero.alias("high"), F.lit(None).cast("boolean").alias("side"), "doc", "data"))
-    if sizes.where(F.col("n") > BLOCK).limit(1).count():
+    if cells.where(F.col("n") > BLOCK).limit(1).count():
+        total, sizes = cells.count(), cells.where("node = component").select("component", "n")  # a cell is named by its smallest document
         large = made.where(F.col("n") > BLOCK)
         blocks = in_blocks(F.col("n"))
-        first = large.where("doc = component")  # a cell is named by its smallest document
+        first = large.where("doc = component")
         with_first = first.withColumn("low", F.explode(F.sequence(zero, blocks - 1))).withColumn("side", F.lit(True)).unionByName(large.where("doc <> component").withColumn("low", block(blocks)).withColumn("side", F.lit(False)))
         near_first = checkpointed(checked(with_first.select("component", "low", F.lit(-1).alias("high"), "side", "doc", "data")))
         open_ = checkpointed(large.where("doc <> component").join(near_first.select(F.greatest("a", "b").alias("linked")).distinct(), F.col("doc") == F.col("linked"), "left_anti"))
