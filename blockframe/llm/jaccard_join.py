@@ -446,7 +446,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             dealt = join_dealt(large, counts, ["component", "band"], large.count()).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
             tasks = tasks.unionByName(dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).select(*task))
         dealt = tasks.withColumn("bucket", F.pmod(F.xxhash64("component", "band", "low", "high"), F.lit(2 * buckets)).cast("int"))
-        return components(dealt.groupBy("bucket").applyInArrow(narrow, "a long, b long"))
+        return components(checkpointed(dealt.groupBy("bucket").applyInArrow(narrow, "a long, b long")))  # else each task has two Python workers, which stay
 
     cells = narrowed(components(found.where(F.col("kind") == PARTS).select("a", "b")))
 
@@ -500,7 +500,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             task = ["component", "low", "high", "side", "doc", "data"]
             near_first = near_first.unionByName(checked(ours.select(*task).unionByName(theirs.select(*task))))
         links = links.unionByName(near_first)
-    groups = components(links.unionByName(found.where(F.col("kind") == SAME).select("a", "b")))
+    groups = components(checkpointed(links).unionByName(found.where(F.col("kind") == SAME).select("a", "b")))
     base = found.where(F.col("kind") == BASE).select(F.col("a").alias("id"), F.col("n").alias("n_shingles"))
     return base.join(groups, F.col("id") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 

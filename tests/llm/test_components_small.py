@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from blockframe.llm import components
+from blockframe.llm import components, jaccard_join
 
 
 def brute(links):
@@ -64,3 +64,16 @@ def test_tasks_hold_few_links(links, monkeypatch):
     assert len(out) == len(brute(links)) - len({c for c, _ in brute(links).values()})
     nodes, least, n = components.roots(*np.array([x for x in links if x[0] != x[1]]).T)
     assert dict(zip(nodes.tolist(), zip(least.tolist(), n.tolist(), strict=True), strict=True)) == brute(links)
+
+
+def test_one_worker_a_task(docs, monkeypatch):
+    """The links that components() reads need no Python worker beside its own."""
+    plans, run = [], jaccard_join.components
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return run(frame)
+
+    monkeypatch.setattr(jaccard_join, "components", seen)
+    assert jaccard_join.near_duplicates(docs).count() == docs.count()
+    assert len(plans) == 3 and not any("InArrow" in p for p in plans)
